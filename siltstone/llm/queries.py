@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .langid import op8_language_id
+from .simhash import op3_simhash
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op8_language_id": op8_language_id,
 }
 
