@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontam import OP4_SQL, op4_decontamination
 from .langid import op8_language_id
 from .simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_decontamination": op4_decontamination,
     "op8_language_id": op8_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+}
