@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontam import OP4_SQL, op4_decontamination
 from .langid import op8_language_id
+from .pii import op6_pii_surrogates
 from .simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op8_language_id": op8_language_id,
 }
 
