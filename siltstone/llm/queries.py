@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontam import OP4_SQL, op4_decontamination
 from .langid import op8_language_id
+from .mixing import OP2_SQL, op2_source_mixing
 from .pii import op6_pii_surrogates
 from .simhash import op3_simhash
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
     "op6_pii_surrogates": op6_pii_surrogates,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": OP2_SQL,
     "op4_decontamination": OP4_SQL,
 }
