@@ -6,9 +6,13 @@ from .decontam import OP4_SQL, op4_decontamination
 from .langid import op8_language_id
 from .mixing import OP2_SQL, op2_source_mixing
 from .pii import op6_pii_surrogates
+from .secrets import OP10_SQL, op10_secret_scan
 from .simhash import op3_simhash
+from .warc import OP1_SQL, op1_warc_bundles
 
 QUERIES = {
+    "op1_warc_bundles": op1_warc_bundles,
+    "op10_secret_scan": op10_secret_scan,
     "op2_source_mixing": op2_source_mixing,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
@@ -17,6 +21,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_bundles": OP1_SQL,
+    "op10_secret_scan": OP10_SQL,
     "op2_source_mixing": OP2_SQL,
     "op4_decontamination": OP4_SQL,
 }
