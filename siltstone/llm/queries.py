@@ -6,6 +6,7 @@ from .decontam import OP4_SQL, op4_decontamination
 from .langid import op8_language_id
 from .mixing import OP2_SQL, op2_source_mixing
 from .pii import op6_pii_surrogates
+from .quality import op5_quality
 from .secrets import OP10_SQL, op10_secret_scan
 from .simhash import op3_simhash
 from .warc import OP1_SQL, op1_warc_bundles
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op8_language_id": op8_language_id,
 }
