@@ -107,7 +107,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: int = 50_000) -> list[tuple[bytes, int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_bytes: int = 50_000) -> list[tuple[bytes, int]]:
     """A bounded training sample: in expectation at most ``per_label`` texts of either label, at one rate for both
     unless a label is rarer, drawn by a hash of doc_id, of texts of at most ``max_bytes`` bytes."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))

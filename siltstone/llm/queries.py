@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_ann
 from .decontam import OP4_SQL, op4_decontamination
 from .langid import op8_language_id
 from .mixing import OP2_SQL, op2_source_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op8_language_id": op8_language_id,
+    "op9_ann": op9_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
