@@ -10,6 +10,7 @@ from .pii import op6_pii_surrogates
 from .quality import op5_quality
 from .secrets import OP10_SQL, op10_secret_scan
 from .simhash import op3_simhash
+from .substrings import op7_repeated_substrings
 from .warc import OP1_SQL, op1_warc_bundles
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_repeated_substrings": op7_repeated_substrings,
     "op8_language_id": op8_language_id,
     "op9_ann": op9_ann,
 }
