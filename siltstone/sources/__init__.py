@@ -1 +1,82 @@
-"""Where documents come from."""
+"""Where documents come from: a reader and a version for each kind of source."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import local
+from .config import UnsupportedSource
+
+#: Given the session and a source's entry: its raw documents, and its version.
+Reader = Callable[[SparkSession, dict[str, Any]], tuple[DataFrame, str]]
+
+
+def _read_local(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
+    return local.read(spark, source["name"], source["path"]), local.fingerprint(spark, source["path"])
+
+
+def _read_github(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
+    from siltstone.sources import github
+
+    folder = source["path"]  # a folder that driver and executors share
+    version = github.checkout(source["repo"], source["docs_path"] or "docs", folder)
+    return github.read(spark, source["name"], folder, source["glob"]), version
+
+
+def _read_llms_txt(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
+    from siltstone.sources.website import http_fetch
+
+    got = http_fetch(source["url"])
+    if not got or got[0] != 200:
+        raise UnsupportedSource(f"{source['name']}: {source['url']} can't be read")
+    docs = spark.createDataFrame([(source["name"], "llms.txt", got[2], "markdown")], "framework string, source_file string, content string, content_type string")
+    from siltstone.sources import llms_txt
+
+    key = llms_txt.version(F.lit(got[1]), F.lit(None).cast("string"), F.col("content"))
+    return docs, docs.select(key.alias("v")).first()["v"]
+
+
+def _read_website(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
+    from siltstone.functions.html import html_to_markdown
+    from siltstone.sources import website
+
+    def sitemap(url: str) -> DataFrame:
+        got = website.http_fetch(url)
+        return spark.createDataFrame([(source["name"], got[2] if got else "<urlset/>")], "framework string, content string")
+
+    def crawl_from(start: str) -> DataFrame:
+        found, queue = {start}, [start]
+        while queue and len(found) < website.MAX_PAGES:
+            batch, queue = queue[: website.BATCH], queue[website.BATCH :]
+            pages = spark.createDataFrame([(u,) for u in batch], "url string").repartition(website.FETCHERS)
+            html = F.udf(lambda u: (website.http_fetch(u) or (0, None, ""))[2], "string")
+            new = website.links(pages.withColumn("html", html("url")), start).select("link").distinct().orderBy("link").limit(website.MAX_PAGES).collect()
+            for r in new:
+                if r["link"] not in found and len(found) < website.MAX_PAGES:
+                    found.add(r["link"]), queue.append(r["link"])
+        return spark.createDataFrame([(u,) for u in sorted(found)], "url string")
+
+    urls = website.resolve_urls(spark, source, sitemap, crawl_from).withColumn("framework", F.lit(source["name"]))
+    cache = source.get("cache") or spark.createDataFrame([], "framework string, url string, etag string, body string")
+    keep_html = source["doc_system"] in ("rustdoc", "typedoc")
+    docs, _ = website.fetch_pages(urls, cache, website.http_fetch, (lambda h: h) if keep_html else html_to_markdown, source["url_filter"])
+    docs = docs.withColumn("content_type", F.lit("html" if keep_html else "markdown"))
+    version = website.url_set_version(urls).first()
+    return docs, version["version_key"] if version else ""
+
+
+READERS: dict[str, Reader] = {"local": _read_local, "github": _read_github, "llms_txt": _read_llms_txt, "website": _read_website}
+
+
+def register_reader(kind: str, reader: Reader) -> None:
+    READERS[kind] = reader
+
+
+def reader(kind: str) -> Reader:
+    if kind not in READERS:
+        raise UnsupportedSource(f"no reader for sources of type {kind!r}; there are {', '.join(sorted(READERS))}")
+    return READERS[kind]
