@@ -6,9 +6,11 @@ owners at the same place in them, hence:
 
 1. Units are counted by the hash of the owner's 48 bytes (the bucket) and of the whole unit.  Where a unit's bytes are
    there twice, all of its strings are repeated; where a bucket has one unit, none is.
-2. Only units left, whose owner repeats but whose bytes differ, need comparing.  Their suffixes are sorted bucket by
-   bucket, deep-shallow: multikey quicksort by 8-byte characters down to a shallow depth, then the groups that
-   still agree (long common prefixes) are ordered by blind tries.  Neighbours in that order that share 200 bytes are repeated.
+2. Only units left, whose owner repeats but whose bytes differ, need comparing.  Bucket by bucket the suffixes that
+   start at the owners are sorted, and the prefixes before them, read backwards.  The sort is deep-shallow: multikey
+   quicksort by 8-byte characters down to a shallow depth, then the ranges that still agree (long common prefixes) are
+   ordered by blind tries.  Two units share the string with l bytes before the owner if they are in one class of
+   backward prefixes of l bytes and in one class of suffixes of 200 - l bytes; classes are runs of the sorted orders.
 3. A bucket with very many different units is dealt by whole strings instead, counted after a reduction in each task,
    so that no bucket has to fit one task.
 """
@@ -71,7 +73,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def units(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(start, count, gram hash, unit hash) of each unit of a text, in chunks of it.
+    """(start, count, lead, gram hash, unit hash) of each unit of a text, in chunks of it; the owner stands ``lead`` bytes after the start.
 
     A unit's strings start at ``start`` ... ``start + count - 1``; its bytes end ``length`` after the last of them."""
     total = len(data) - length + 1
@@ -89,67 +91,106 @@ def units(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[
         count = np.diff(np.append(start, n))
         at = owner[start]
         whole = _hash_between(sums, start, start + count - 1 + length) ^ _mix((at - start).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
-        yield start + lo, count, grams[at], whole
+        yield start + lo, count, at - start, grams[at], whole
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one big-endian number."""
-    return np.lib.stride_tricks.sliding_window_view(data, 8)[at].copy().view(">u8").ravel().astype(np.uint64)
-
-
-def deep_shallow(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
-    """Which suffixes share ``length`` bytes with another one of their group (``data`` reaches that far, and 8 more).
+def deep_shallow(rows: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
+    """An order of the rows (of bytes) in which, within each group, rows with a common prefix stand together.
 
     Multikey quicksort with 8-byte characters: all open ranges are partitioned by their next character at once, and
-    ranges of one suffix are closed.  From ``shallow`` on each range that is still open goes to a blind trie."""
-    same = np.zeros(len(suffix), bool)
-    open_, owner, depth = np.arange(len(suffix)), group, 0
-    while depth < min(shallow, length) and len(open_):
-        character = _words(data, suffix[open_] + depth)
-        if length - depth < 8:
-            character &= ~np.uint64((1 << (8 * (8 - length + depth))) - 1)
-        order = np.lexsort((character, owner))
-        character, owner, open_ = character[order], owner[order], open_[order]
-        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (character[1:] != character[:-1])])
-        owner = np.cumsum(new) - 1
-        alone = np.bincount(owner)[owner] == 1
-        open_, owner, depth = open_[~alone], owner[~alone], depth + 8
-    if depth >= length:
-        same[open_] = True
-        return same
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    for members in np.split(open_, cuts) if len(open_) else ():
-        same[members[blind_trie(data, suffix[members], depth, length)]] = True
-    return same
-
-
-def blind_trie(data: np.ndarray, suffix: np.ndarray, depth: int, length: int) -> np.ndarray:
-    """Which of the suffixes, which agree on ``depth`` bytes, share ``length`` bytes with another.
-
-    A blind trie keeps, for each branch, only where it branches and the bytes there.  It is grown by levels: the whole
-    range is compared with its first member, the branching depth of the others is where they first differ from it, and
-    those that branch at one place with one byte make the next ranges."""
-    width = length - depth
-    rows = np.lib.stride_tricks.sliding_window_view(data, width)
-    out, ranges = np.zeros(len(suffix), bool), [np.arange(len(suffix))]
-    while ranges:
-        members = ranges.pop()
-        if len(members) < 2:
+    ranges of one row, or of two, which need no order, are closed.  From ``shallow`` on open ranges go to blind tries."""
+    words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+    order = np.argsort(group, kind="stable")
+    _, owner = np.unique(group[order], return_inverse=True)
+    open_ = np.arange(len(order))  # places in ``order`` that are in open ranges, ranges in a row
+    large = np.bincount(owner)[owner] > 2
+    open_, owner = open_[large], owner[large]
+    for depth in range(min(shallow, rows.shape[1]) // 8):
+        if not len(open_):
+            return order
+        character = words[order[open_], depth]
+        by = np.lexsort((character, owner))
+        order[open_] = order[open_[by]]
+        character, owner = character[by], owner[by]
+        owner = np.cumsum(np.concatenate([[True], (owner[1:] != owner[:-1]) | (character[1:] != character[:-1])])) - 1
+        large = np.bincount(owner)[owner] > 2
+        open_, owner = open_[large], owner[large]
+    if len(open_) and shallow < rows.shape[1]:  # else the rows of a range are equal
+        for places in np.split(open_, np.flatnonzero(np.diff(owner)) + 1):
+            order[places] = blind_trie(rows, order[places], shallow)
+    return order
+
+
+def blind_trie(rows: np.ndarray, members: np.ndarray, depth: int) -> np.ndarray:
+    """Members of one range, which agree on ``depth`` bytes, so ordered that common prefixes stand together.
+
+    A blind trie keeps of each branch only where it branches and the byte there.  It is grown from the first member:
+    all others are compared with it, and those that leave it at one place with one byte are a branch of their own.
+    Branches are read from the deepest on, so whatever shares more with the first member stands nearer to it."""
+    out: list[int] = []
+    stack = [members]
+    while stack:
+        range_ = stack.pop()
+        out.append(int(range_[0]))
+        rest = range_[1:]
+        if not len(rest):
             continue
-        first, rest = members[0], members[1:]
-        differs = np.concatenate([rows[suffix[rest[k : k + 4096]] + depth] != rows[suffix[first] + depth] for k in range(0, len(rest), 4096)])
-        skip = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
-        equal = skip == width
-        if equal.any():
-            out[first] = True
-            out[rest[equal]] = True
-        left, branch = rest[~equal], skip[~equal]
-        if len(left):
-            byte = data[suffix[left] + depth + branch]
-            key = branch * 256 + byte
-            order = np.argsort(key, kind="stable")
-            ranges += np.split(left[order], np.flatnonzero(np.diff(key[order])) + 1)
-    return out
+        differs = rows[rest, depth:] != rows[range_[0], depth:]
+        branch = np.where(differs.any(axis=1), depth + differs.argmax(axis=1), rows.shape[1])
+        byte = np.where(branch < rows.shape[1], rows[rest, np.minimum(branch, rows.shape[1] - 1)], 0)
+        key = branch.astype(np.int64) * 256 + byte
+        by = np.argsort(key, kind="stable")  # shallow branches first, as the stack is read from its end
+        parts = np.split(rest[by], np.flatnonzero(np.diff(key[by])) + 1)
+        if branch.max() == rows.shape[1]:  # equal rows
+            out += parts.pop().tolist()
+        stack += parts
+    return np.array(out, np.int64)
+
+
+def _classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by deep-shallow sort, and how many bytes each row shares with the one before it (-1: another group)."""
+    order = deep_shallow(rows, group)
+    common = np.full(len(rows), -1, np.int64)
+    for lo in range(1, len(rows), 8192):
+        at = np.arange(lo, min(lo + 8192, len(rows)))
+        differs = rows[order[at]] != rows[order[at - 1]]
+        shared = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+        common[at] = np.where(group[order[at]] == group[order[at - 1]], shared, -1)
+    return order, common
+
+
+def _padded(n: int) -> int:
+    return -(-n // 8) * 8
+
+
+def compare_units(bucket: np.ndarray, pieces: list[bytes], lead: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each unit, which of its strings another unit of its bucket has too."""
+    sizes = np.array([len(p) for p in pieces])
+    strings = sizes - length + 1
+    offset = np.cumsum(sizes) - sizes
+    data = np.concatenate([np.zeros(length, np.uint8), np.frombuffer(b"".join(pieces), np.uint8), np.zeros(2 * length, np.uint8)])
+    owner = offset + lead + length
+    after = np.arange(_padded(length))
+    suffixes = np.where(after < (sizes - lead)[:, None], data[owner[:, None] + np.minimum(after, length)], 0).astype(np.uint8)
+    back = np.arange(_padded(max(int(lead.max()), 1)))
+    prefixes = np.where(back < lead[:, None], data[owner[:, None] - 1 - np.minimum(back, length - 1)], 0).astype(np.uint8)
+    right, right_common = _classes(suffixes, bucket)
+    left, left_common = _classes(prefixes, bucket)
+    lowest = lead - strings + 1  # a unit's own strings have lowest ... lead bytes before the owner
+    same = [np.zeros(s, bool) for s in strings]
+    right_class, left_class = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+    for before in range(int(max(lowest.min(), 0)), int(lead.max()) + 1):
+        has = np.flatnonzero((lowest <= before) & (lead >= before))
+        if len(has) < 2:
+            continue
+        right_class[right] = np.cumsum(right_common < length - before)
+        left_class[left] = np.cumsum(left_common < before)
+        key = right_class[has] * (len(pieces) + 1) + left_class[has]
+        by = np.argsort(key, kind="stable")
+        twin = key[by][1:] == key[by][:-1]
+        for k in has[by[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]].tolist():
+            same[k][lead[k] - before] = True
+    return same
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -169,28 +210,30 @@ def _all_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for i, th, text in zip(ids, ths, texts(batch), strict=True):
                 if len(text) < length:
                     continue
-                for start, count, bucket, whole in units(np.frombuffer(text, np.uint8), length, gram):
+                for start, count, lead, bucket, whole in units(np.frombuffer(text, np.uint8), length, gram):
                     n = len(start)
-                    parts.append([bucket.view(np.int64), whole.view(np.int64), np.full(n, i), np.full(n, th), start, count.astype(np.int32)])
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8", "i4")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "unit", "id", "th", "start", "count"])
+                    parts.append([bucket.view(np.int64), whole.view(np.int64), np.full(n, i), np.full(n, th), start, count.astype(np.int16), lead.astype(np.int16)])
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in ("i8", "i8", "i8", "i8", "i8", "i2", "i2")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "unit", "id", "th", "start", "count", "lead"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "bucket long, unit long, id long, th long, start long, count int")
+    return docs.select("id", "th", "text").mapInArrow(run, "bucket long, unit long, id long, th long, start long, count short, lead short")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_BUCKET) -> DataFrame:
     """(id, th, starts, counts): per keyed document, runs of starting places whose strings are repeated."""
     found = write_table(_all_units(docs, length, gram), "units")
-    sizes = found.groupBy("bucket", "unit").agg(F.count("*").alias("n"), F.min(F.xxhash64("id", "th", "start")).alias("sign"))
-    sizes = write_table(sizes, "unit-sizes")
-    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1")
-    state = sizes.join(buckets, "bucket").select(F.col("bucket").alias("__bucket"), "unit", "n", "sign", "kinds")
-    marked = found.join(state, (found["bucket"] == state["__bucket"]) & (found["unit"] == state["unit"])).select("bucket", "id", "th", "start", "count", (F.col("n") > 1).alias("full"), "kinds", (F.xxhash64("id", "th", "start") == F.col("sign")).alias("chosen"))
+    repeated = found.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("bucket").alias("__bucket"))
+    found = write_table(found.join(repeated, found["bucket"] == repeated["__bucket"], "left_semi"), "repeated-units")
+    sign = F.xxhash64("id", "th", "start")
+    sizes = write_table(found.groupBy("bucket", "unit").agg(F.count("*").alias("n"), F.min(sign).alias("sign")), "unit-sizes")
+    kinds = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"))
+    state = sizes.join(kinds, "bucket").select(F.col("bucket").alias("__bucket"), F.col("unit").alias("__unit"), "n", "sign", "kinds")
+    marked = found.join(state, (F.col("bucket") == F.col("__bucket")) & (F.col("unit") == F.col("__unit"))).select("bucket", "id", "th", "start", "count", "lead", (F.col("n") > 1).alias("full"), "kinds", (sign == F.col("sign")).alias("chosen"))
     marked = write_table(marked, "marked")
-    whole = marked.where("full").select("id", "th", "start", "count")
+    whole = marked.where("full").select("id", "th", "start", F.col("count").cast("int").alias("count"))
     # Of a unit that is there twice one copy takes part in the comparison, of all others their only one.
     asked = marked.where("kinds > 1 AND (NOT full OR chosen)")
-    per_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("bucket", "start", "count", "full", "kinds")).alias("asked"))
+    per_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("bucket", "start", "count", "lead", "full", "kinds")).alias("asked"))
     pieces = write_table(_pieces(per_doc.join(docs.select("id", "th", "text"), ["id", "th"]), length), "pieces")
     compared = _compare(pieces.where(F.col("kinds") <= large), length)
     counted = _count(pieces.where(F.col("kinds") > large), length)
@@ -203,15 +246,15 @@ def _pieces(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("full", pa.bool_()), ("kinds", pa.int64()), ("bytes", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("lead", pa.int16()), ("full", pa.bool_()), ("kinds", pa.int64()), ("bytes", pa.binary())])
         for batch in batches:
             for i, th, asked, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("asked"), texts(batch), strict=True):
                 one = pa.RecordBatch.from_struct_array(asked.values)
                 start, count = one.column("start").to_pylist(), one.column("count").to_pylist()
                 data = [text[s : s + c - 1 + length] for s, c in zip(start, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([one.column("bucket"), pa.array([i] * len(data), pa.int64()), pa.array([th] * len(data), pa.int64()), one.column("start"), one.column("full"), one.column("kinds"), pa.array(data, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([one.column("bucket"), pa.array([i] * len(data), pa.int64()), pa.array([th] * len(data), pa.int64()), one.column("start"), one.column("lead"), one.column("full"), one.column("kinds"), pa.array(data, pa.binary())], schema=schema)
 
-    return rows.select("id", "th", "asked", "text").mapInArrow(run, "bucket long, id long, th long, start long, full boolean, kinds long, bytes binary")
+    return rows.select("id", "th", "asked", "text").mapInArrow(run, "bucket long, id long, th long, start long, lead short, full boolean, kinds long, bytes binary")
 
 
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,18 +263,6 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
-def compare_units(bucket: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each unit, which of its strings another unit of its bucket has too."""
-    sizes = np.array([len(p) for p in pieces])
-    strings = sizes - length + 1
-    data = np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)
-    offset = np.cumsum(sizes) - sizes
-    which = np.repeat(np.arange(len(pieces)), strings)
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(strings) - strings, strings)
-    same = deep_shallow(data, offset[which] + inner, bucket[which], length)
-    return np.split(same, np.cumsum(strings)[:-1])
-
-
 def _compare(pieces: DataFrame, length: int) -> DataFrame:
     """Buckets are dealt to tasks and sorted there; a task holds a run of whole buckets at a time."""
     dealt = pieces.repartition("bucket").sortWithinPartitions("bucket")
@@ -242,7 +273,7 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             bucket = np.array([r[0] for r in rows])
             out: list[tuple] = []
-            for r, same in zip(rows, compare_units(bucket, [r[5] for r in rows], length), strict=True):
+            for r, same in zip(rows, compare_units(bucket, [r[5] for r in rows], np.array([r[6] for r in rows], np.int64), length), strict=True):
                 if not r[4] and same.any():
                     out += [(r[1], r[2], r[3] + int(a), int(n)) for a, n in zip(*_runs(np.flatnonzero(same)), strict=True)]
             columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -251,7 +282,7 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "id", "th", "start", "full", "bytes"))
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "id", "th", "start", "full", "bytes", "lead"))
             for row in zip(*columns, strict=True):
                 if size > CHUNK and held[-1][0] != row[0]:
                     yield solve(held)
