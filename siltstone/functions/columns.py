@@ -92,11 +92,12 @@ def short_date(moment: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    out = F.concat(F.format_number(size / F.lit(1024.0**4), "0.0"), F.lit(" TB"))
-    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        shown = F.format_number(size / F.lit(1024.0**k), "0.0" if k else "0")
-        out = F.when(size < F.lit(1024.0 ** (k + 1)), F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
-    return out
+    """In steps of 1024, with one decimal from KB on."""
+    shown = lambda k: F.format_string("%.1f", F.bround(size / F.lit(1024.0**k), 1))
+    out = F.concat(shown(4), F.lit(" TB"))
+    for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        out = F.when(size < F.lit(1024.0 ** (k + 1)), F.concat(shown(k), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(out)
 
 
 def snippet(content: Column, width: int = 80) -> Column:

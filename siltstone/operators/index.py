@@ -82,6 +82,25 @@ def keyword_search(index: Index, query: str, top_k: int = 20, framework: str | N
     return ranked(_filtered(scored, framework, unit_type), top_k, F.desc("score"))
 
 
+def keyword_batch(index: Index, queries: DataFrame, top_k: int = 5) -> DataFrame:
+    """(qid, id, score, rank) of many phrase queries (qid, words array<string>) at once.
+
+    Postings meet the query words in one join; per query only its ``top_k`` best rows are ranked."""
+    from pyspark.sql import Window
+
+    asked = queries.where(F.size("words") > 0).select("qid", F.size("words").alias("m"), F.posexplode("words").alias("q", "term"))
+    starts = index.postings.join(asked, "term").select("qid", "m", "unit_id", "field", (F.col("pos") - F.col("q")).alias("start"), "q")
+    whole = starts.groupBy("qid", "m", "unit_id", "field", "start").agg(F.count_distinct("q").alias("n")).where("n = m")
+    hits = whole.groupBy("qid", "unit_id").agg(F.count("*").cast("double").alias("tf"))
+    found = hits.groupBy("qid").agg(F.count("*").alias("df"))
+    corpus = index.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(corpus["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(corpus["avg"] or 1.0))))
+    scored = hits.join(found, "qid").join(index.lengths, "unit_id").join(index.units.select("id", "unit_seq"), F.col("unit_id") == F.col("id")).select("qid", "id", "unit_seq", (weight * idf).alias("score"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit_seq"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= top_k).select("qid", "id", "score", "rank")
+
+
 def _filtered(df: DataFrame, framework: str | None, unit_type: str | None) -> DataFrame:
     df = df.where(F.col("framework") == framework) if framework else df
     return df.where(F.col("type") == unit_type) if unit_type else df

@@ -126,13 +126,15 @@ def sections_by_window(docs: DataFrame, split_level: int = P.SPLIT_LEVEL) -> Dat
     lines = lines.withColumn("opens", ((F.col("level") > 0) & (F.col("level") <= split_level)).cast("int")).withColumn("sec", F.sum("opens").over(w))
     for k in range(1, split_level + 1):
         lines = lines.withColumn(f"t{k}", F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(w)).withColumn(f"p{k}", F.last(F.when(F.col("level") == k, F.col("n")), ignorenulls=True).over(w))
-    above = lambda k: F.array_compact(F.array(*[F.when(F.col(f"p{j}").isNotNull() & (F.col(f"p{j}") > F.greatest(F.lit(-1), *[F.coalesce(F.col(f"p{i}"), F.lit(-1)) for i in range(1, j)])), F.col(f"t{j}")) for j in range(1, k)]))
+    above = lambda k: F.array_compact(F.array(*[F.when(F.col(f"p{j}") > F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"p{i}"), F.lit(-1)) for i in range(1, j)]), F.col(f"t{j}")) for j in range(1, k)]).cast("array<string>"))
     path = F.lit(None).cast("array<string>")
     for k in range(split_level, 0, -1):
         path = F.when((F.col("opens") == 1) & (F.col("level") == k), F.concat(above(k), F.array("title"))).otherwise(path)
     # Text behind a deeper heading that has no section above it is lost, as in the line-by-line reading.
-    lost = F.max(F.when(F.col("level") > split_level, 1).otherwise(0)).over(w)
-    lines = lines.withColumn("path", path).withColumn("body", F.when((F.col("opens") == 0) & ~((F.col("sec") == 0) & (lost == 1)), F.col("line")))
+    lines = lines.withColumn("deep", F.max((F.col("level") > split_level).cast("int")).over(w))
+    lines = lines.withColumn("lead", F.max(((F.col("deep") == 0) & (F.col("level") == 0) & F.col("line").rlike(r"\S")).cast("int")).over(w))
+    lost = (F.col("sec") == 0) & (F.col("deep") == 1) & (F.col("lead") == 0)
+    lines = lines.withColumn("path", path).withColumn("body", F.when((F.col("opens") == 0) & ~lost, F.col("line")))
     parts = lines.groupBy("framework", "source_file", "sec").agg(
         F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("n", "body")))).alias("parts"), F.max(F.when(F.col("opens") == 1, F.col("title"))).alias("heading"), F.max(F.when(F.col("opens") == 1, F.col("level"))).alias("level"), F.max("path").alias("path")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import patterns as P
 from siltstone.functions.columns import url_to_filepath
+from siltstone.scratch import write_table
 
 #: Pages at once and at most, and the links that make a start page a site.
 BATCH, MAX_PAGES, MIN_LINKS, FETCHERS = 64, 2000, 5, 16
@@ -20,7 +21,7 @@ def sitemap_urls(sitemaps: DataFrame, url_filter: str = "") -> DataFrame:
     """(framework, url) of each <loc> of a sitemap's <url>, whatever the namespace; sorted within a framework by readers."""
     xml = F.regexp_replace("content", r"\A\s*<\?xml[^>]*\?>", "")
     found = F.explode(F.xpath(xml, F.lit('//*[local-name()="url"]/*[local-name()="loc"]/text()')))
-    urls = sitemaps.select("framework", F.trim(found).alias("url"))
+    urls = sitemaps.select("framework", found.alias("url")).withColumn("url", F.trim("url"))
     return urls.where(F.contains("url", F.lit(url_filter))) if url_filter else urls
 
 
@@ -66,15 +67,15 @@ def crawl(edges: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES, max_d
 
     Each round joins the frontier to the links and takes away what was seen.  Within a round addresses are taken in
     order; the search ends at ``max_pages``, the crawl's own limit."""
-    seen = starts.select("url", F.lit(0).alias("depth")).distinct()
-    frontier, count = seen.select("url"), seen.count()
+    seen = write_table(starts.select("url", F.lit(0).alias("depth")).distinct(), "frontier")
+    frontier, count = seen, seen.count()
     for depth in range(1, max_depth + 1):
-        new = edges.join(frontier, edges["page"] == frontier["url"]).select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
-        new = new.orderBy("url").limit(max(0, max_pages - count)).persist()
-        found = new.count()
-        if not found:
+        found = edges.join(frontier.select(F.col("url").alias("page")), "page").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
+        frontier = write_table(found.orderBy("url").limit(max(0, max_pages - count)).withColumn("depth", F.lit(depth)), "frontier")
+        new = frontier.count()
+        if not new:
             break
-        seen, frontier, count = seen.unionByName(new.withColumn("depth", F.lit(depth))), new, count + found
+        seen, count = seen.unionByName(frontier), count + new
     return seen
 
 
