@@ -1,42 +1,10 @@
-"""Shared scratch tables: lineage is cut with Parquet files in the cluster's checkpoint folder."""
+"""What the operators share: scratch tables, and texts as bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from siltstone.scratch import drop_table, shared_dir, write_table
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a stable table without lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Removes a table of :func:`write_table` that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["drop_table", "shared_dir", "texts", "write_table"]
 
 
 def texts(batch, name: str = "text") -> list[bytes | None]:
