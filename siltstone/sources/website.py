@@ -82,7 +82,7 @@ def crawl(edges: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES, max_d
 def reachable_sql(edges_view: str, start: int, max_depth: int = 64) -> str:
     """The same for a table of numbered pages, in one recursive query."""
     return f"""
-      WITH RECURSIVE reach(page, depth) MAX RECURSION LEVEL {max_depth} AS (
+      WITH RECURSIVE reach(page, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
         SELECT CAST({start} AS BIGINT), 0 UNION ALL SELECT e.link, depth + 1 FROM reach r JOIN {edges_view} e ON e.page = r.page WHERE depth < {max_depth}
       ) SELECT page, min(depth) AS depth FROM reach GROUP BY page"""
 
