@@ -1,15 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame operations alone.
 
 The corpus is reduced to cells (one for each combination of the dimensions' values) with their token mass.
-Raking multiplies a cell by target / current share, one dimension after another; the factors are kept by value,
-so a sweep is three small aggregations, written to the shared folder now and then to cut the lineage.  A document's
+Raking multiplies a cell by target / current share, one dimension after another; the cells carry their targets,
+so a sweep is three windows over the cells, written to the shared folder to cut the lineage.  A document's
 sampling probability follows from its cell's calibrated ratio; what a probability above one would have asked for is
 kept as a weight, so weighted token shares meet the targets in expectation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import drop_table, write_table
@@ -52,25 +52,26 @@ def shares(cells: DataFrame, dim: str, targets: dict[str, float]) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (the dimensions, mass) with ``ratio``: calibrated share over the share there is.
 
-    Stops after ``sweeps`` sweeps, or when no marginal share was further than ``tolerance`` from its target."""
+    Stops after ``sweeps`` sweeps, or when no marginal share was further than ``tolerance`` from its target.  Cells are
+    already reduced from documents; a sweep is one window a dimension over them, so its plan stays small on the driver."""
     dims = list(targets)
-    wanted = {d: write_table(shares(cells, d, targets[d]), "targets") for d in dims}
     total = cells.agg(F.sum("mass")).first()[0] or 0.0
     share = F.col("mass") / F.lit(total) if total > 0 else F.lit(0.0)
-    current = write_table(cells.withColumn("share", share).withColumn("w", share), "cells")
+    start = cells.withColumn("share", share).withColumn("w", share)
+    for d in dims:
+        start = start.join(shares(cells, d, targets[d]).withColumnRenamed("target", f"target_{d}"), d)
+    current = write_table(start, "cells")
+    columns = current.columns
     for _ in range(sweeps):
-        before, step, errors = current, current, []
+        step = current
         for d in dims:
-            have = step.groupBy(d).agg(F.sum("w").alias("have"))
-            factor = have.join(wanted[d], d).select(d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(1.0).alias("factor"), F.abs(F.col("target") - F.col("have")).alias(f"off_{d}"))
-            step = step.join(factor, d).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-            errors.append(f"off_{d}")
-        current = write_table(step, "cells")
-        worst = current.agg(F.max(F.greatest(*errors, F.lit(0.0)))).first()[0]
-        current_slim = current.drop(*errors)
-        current_slim._scratch_path = current._scratch_path
-        current = current_slim
+            have = F.sum("w").over(Window.partitionBy(d))
+            step = step.withColumn(f"have_{d}", have).withColumn("w", F.when(F.col(f"have_{d}") > 0, F.col("w") * F.col(f"target_{d}") / F.col(f"have_{d}")).otherwise(F.col("w")))
+        before, current = current, write_table(step, "cells")
+        worst = current.agg(F.max(F.greatest(F.lit(0.0), *(F.abs(F.col(f"have_{d}") - F.col(f"target_{d}")) for d in dims)))).first()[0]
         drop_table(before)
+        path, current = current._scratch_path, current.select(*columns)
+        current._scratch_path = path
         if worst is None or worst <= tolerance:
             break
     return current.select(*dims, "mass", F.when(F.col("share") > 0, F.col("w") / F.col("share")).otherwise(0.0).alias("ratio"))
