@@ -106,11 +106,11 @@ def _code_lengths(levels: list[np.ndarray], others: int) -> np.ndarray:
         p += mass * c / total
         mass = mass * np.where(n > 0, d / total, 1.0)
         gone |= c > 0
-    width = np.ones(ALPHABET)
-    width[0] = max(others, 1)  # symbol 0 stands for every byte value without one of its own
+    width = np.zeros(ALPHABET)  # byte values of each symbol; 0 stands for every value without one of its own
+    width[0], width[1 : 257 - others] = others, 1
     left = np.where(gone, 0.0, width)
     p += mass * left / np.maximum(left.sum(1, keepdims=True), 1.0)
-    return -np.log2(np.maximum(p / width, 1e-12))
+    return -np.log2(np.maximum(p / np.maximum(width, 1.0), 1e-12))
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -195,13 +195,13 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] = ()) -> DataFram
     so does every text if no labelled row was there to learn from.  Texts of any length are scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col("text").alias("__text"))
+    frame = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            langs, scores, rates = predict(shared.value, batch.column("__text").cast(pa.large_binary()))
+            langs, scores, rates = predict(shared.value, batch.column("text").cast(pa.large_binary()))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
                 names=[*keep, "lang_pred", "score", "bits_per_byte"],
@@ -214,6 +214,22 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] = ()) -> DataFram
     return frame.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: PpmModel, max_bits: float = 7.0) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, with all columns.
+
+    ``und`` goes, and so does a text for which the best model needs more than ``max_bits`` bits a byte."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            langs, _, rates = predict(shared.value, batch.column("text").cast(pa.large_binary()))
+            yield batch.filter(pa.array([lang != UNKNOWN and rate <= max_bits for lang, rate in zip(langs, rates, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id", mod: int = 3, rest: int = 1):
     """Whether crc32 of the id as text leaves ``rest``; ids that are null are never held out, nor learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))

@@ -115,12 +115,11 @@ def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], salts: int =
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that are drawn, with all columns; see :func:`calibrate`."""
-    mapped = docs.withColumn("__topic", topic_of(F.col("text")))
     cells = write_table(_cell(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")), "mass")
     ratios = rake(cells, targets or TARGETS)
-    chance = write_table(ratios.select(*(F.col(d).alias(f"__c_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("ratio") * rate).alias("__p")), "chances")
-    on = (F.coalesce(mapped["source"], F.lit(NONE)) == chance["__c_source"]) & (F.coalesce(mapped["lang"], F.lit(NONE)) == chance["__c_lang"]) & (mapped["__topic"] == chance["__c_topic"])
-    return mapped.join(chance, on).where(draw("doc_id", seed) < F.col("__p")).select(*docs.columns)
+    chance = write_table(ratios.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("ratio") * rate).alias("p")), "chances")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *(F.coalesce(d, F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), topic_of(F.col("text")).alias("topic"), draw("doc_id", seed).alias("u"))
+    return rows.join(chance, list(DIMENSIONS)).where("u < p").select("row.*")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -168,25 +168,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
     return marked.join(classes(marked, bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, bits: int = 2) -> DataFrame:
-    """``docs`` (doc_id, text and any more columns) with one row of each near-duplicate class.
-
-    The row with the smallest doc_id stays (a null id only where the class has no other); of rows that
-    share it, the one with the smallest fingerprint, and of fully repeated rows a single one."""
-    marked = write_table(fingerprints(docs, ["doc_id"], width=width, name="fp"), "fingerprints")
-    placed = marked.join(classes(marked, bits), "fp")
-    winners = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"))
-    # A class without any id has null as its component_id; classes of that kind stay apart by their fingerprint.
-    lost = placed.where(F.col("component_id").isNull()).select("doc_id", "component_id", "fp").distinct()
-    winners = winners.where(F.col("doc_id").isNotNull()).unionByName(lost).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
-    inner = [c for c in docs.columns]
-    with_fp = fingerprints(docs, inner, width=width, name="__mark")
-    kept = with_fp.join(winners, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__fp")))
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__id", "__fp"))
-    return kept.withColumn("__row", first).where("__row = 1").select(*inner)
-
-
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
