@@ -6,12 +6,15 @@ It is built once and stored sorted by term, so a search reads the row groups of
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import tokens
+from siltstone.scratch import write_table
 
 #: The weights of BM25, and the least weight of a phrase.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -20,11 +23,15 @@ FIELDS = ("content", "module_path", "related_symbols", "heading_hierarchy")
 
 @dataclass
 class Index:
-    """``units``: what filters and ties look at (id, framework, type, unit_seq)."""
+    """``units``: what filters and ties look at (id, framework, type, unit_seq).
+
+    ``source`` is set while the index is not stored: a single search then reads the texts once, instead of making
+    postings of all of them for the sake of one phrase."""
 
     postings: DataFrame
     lengths: DataFrame
     units: DataFrame
+    source: DataFrame | None = None
 
     def save(self, path: str) -> Index:
         """Writes the tables below ``path``; postings are ranged by term, so a term's rows lie together."""
@@ -47,7 +54,7 @@ def build(units: DataFrame) -> Index:
     fields = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).alias("tokens")) for k, c in enumerate(present))))
     postings = read.select(F.col("id").alias("unit_id"), fields.alias("f")).select("unit_id", "f.field", F.posexplode("f.tokens").alias("pos", "term")).select("term", "unit_id", "field", "pos")
     lengths = read.select(F.col("id").alias("unit_id"), sum((F.size(c) for c in present), F.lit(0)).cast("long").alias("len"))
-    return Index(postings, lengths, units.select("id", "framework", "type", "unit_seq", "relevance_decay"))
+    return Index(postings, lengths, units.select("id", "framework", "type", "unit_seq", "relevance_decay"), read)
 
 
 def phrase_hits(index: Index, words: list[str]) -> DataFrame:
@@ -60,25 +67,34 @@ def phrase_hits(index: Index, words: list[str]) -> DataFrame:
     return whole.groupBy("unit_id").agg(F.count("*").alias("tf"))
 
 
+def _counted(index: Index, words: list[str]) -> DataFrame:
+    """(unit_id, len, tf) of every unit, as a small stored table."""
+    if index.source is None:
+        hits = phrase_hits(index, words)
+        return write_table(index.lengths.join(hits, "unit_id", "left").select("unit_id", "len", F.coalesce("tf", F.lit(0)).cast("long").alias("tf")), "hits")
+    # Tokens are letters and digits only, so a phrase is a pattern over them; looking ahead lets occurrences overlap.
+    first, rest = words[0], "".join(f" {w}" for w in words[1:])
+    pattern = F.lit(f"(?<= ){first}(?={rest} )")
+    fields = [c for c in index.source.columns if c != "id"]
+    tf = sum((F.regexp_count(F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")), pattern) for c in fields), F.lit(0))
+    size = sum((F.size(c) for c in fields), F.lit(0))
+    return write_table(index.source.select(F.col("id").alias("unit_id"), size.cast("long").alias("len"), tf.cast("long").alias("tf")), "hits")
+
+
 def keyword_search(index: Index, query: str, top_k: int = 20, framework: str | None = None, unit_type: str | None = None) -> DataFrame:
     """(id, score, rank): units with the query as a phrase, best first, ties by unit_seq.
 
     Sizes and frequencies are those of the whole index; filters come after them.  A query without a token finds nothing."""
-    import re
-
     spark = index.units.sparkSession
     words = spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"] if re.search(r"\w", query or "") else []
     if not words:
         return spark.createDataFrame([], "id string, score double, rank int").select(F.col("id").cast(index.units.schema["id"].dataType).alias("id"), "score", "rank")
-    corpus = index.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    hits = phrase_hits(index, words)
-    found = hits.count()
-    import math
-
-    idf = max(LEAST_IDF, math.log((corpus["n"] - found + 0.5) / (found + 0.5)))
+    counted = _counted(index, words)
+    corpus = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), F.count_if(F.col("tf") > 0).alias("found")).first()
+    idf = max(LEAST_IDF, math.log((corpus["n"] - corpus["found"] + 0.5) / (corpus["found"] + 0.5)))
     tf = F.col("tf").cast("double")
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(float(corpus["avg"] or 1.0))))
-    scored = hits.join(index.lengths, "unit_id").join(index.units, F.col("unit_id") == F.col("id")).select("id", "framework", "type", "unit_seq", (weight * idf).alias("score"))
+    scored = counted.where("tf > 0").join(index.units, F.col("unit_id") == F.col("id")).select("id", "framework", "type", "unit_seq", (weight * idf).alias("score"))
     return ranked(_filtered(scored, framework, unit_type), top_k, F.desc("score"))
 
 
