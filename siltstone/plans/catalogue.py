@@ -774,20 +774,16 @@ def embedded_units(spark, sf_dir):
 @query()
 def stream_ingest_dedup(spark, sf_dir):
     """Documents as a stream of files: units, each id once within a day."""
-    import shutil
-    import tempfile
-
-    from siltstone.streaming.ingest import units_stream
+    import uuid
 
     from siltstone import schema
+    from siltstone.scratch import shared_dir
+    from siltstone.streaming.ingest import units_stream
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-stream-")
-    folder = f"{at.rstrip('/')}/arriving-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = markdown(spark, sf_dir).select("framework", "source_file", "content", "content_type", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("arrived"))
     source.unionByName(source).write.mode("overwrite").parquet(f"{folder}/in")
     arriving = spark.readStream.schema(schema.struct(schema.RAW_DOCS + ", arrived timestamp")).parquet(f"{folder}/in")
     stream = units_stream(arriving).select("id", "type", "framework", "module_path").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    if folder.startswith("file:///tmp/siltstone-stream-"):
-        shutil.rmtree(f"{folder[7:]}/in", ignore_errors=True)
     return spark.read.schema("id string, type string, framework string, module_path string").parquet(f"{folder}/out")
