@@ -37,11 +37,14 @@ def spans_of_words(text: bytes) -> np.ndarray:
 
 @dataclass
 class WindowIndex:
-    """``number``: word to number; ``windows``: number tuple to item ids; ``hashes``: sorted, by window length."""
+    """``number``: word to number; ``words``: the items' numbers in a row; ``owner``: the item of each place in them;
+    ``hashes``: by window length the sorted hashes, and where in ``words`` each window starts.  About 20 bytes a window."""
 
     number: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[tuple[int, ...], list] = field(default_factory=dict)
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    items: list = field(default_factory=list)
+    hashes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
 def _hash(ids: np.ndarray, length: int) -> np.ndarray:
@@ -55,47 +58,51 @@ def _hash(ids: np.ndarray, length: int) -> np.ndarray:
 
 def build_index(items: list[tuple], width: int = 10) -> WindowIndex:
     """``items``: (item id, text).  An item of fewer than ``width`` words is one window, one without words none."""
-    index = WindowIndex()
+    index, parts, starts, at = WindowIndex(), [], {}, 0
     for item, text in items:
-        words = words_of(text)
-        ids = tuple(index.number.setdefault(w, len(index.number)) for w in words)
-        size = min(width, len(ids))
-        for k in range(len(ids) - size + 1 if ids else 0):
-            owners = index.windows.setdefault(ids[k : k + size], [])
-            if item not in owners:
-                owners.append(item)
-    for size in sorted({len(w) for w in index.windows}):
-        rows = np.array([w for w in index.windows if len(w) == size], np.int64)
-        index.hashes[size] = np.unique(np.concatenate([_hash(r, size) for r in rows]))
+        ids = [index.number.setdefault(w, len(index.number)) for w in words_of(text)]
+        if ids:
+            size = min(width, len(ids))
+            starts.setdefault(size, []).append(np.arange(at, at + len(ids) - size + 1))
+            index.items.append(item)
+            parts.append(np.array(ids, np.int32))
+            at += len(ids)
+    if parts:
+        index.words = np.concatenate(parts)
+        index.owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    for size in sorted(starts):
+        places = np.concatenate(starts[size])
+        found = _hash(index.words, size)[places]
+        by = np.argsort(found, kind="stable")
+        index.hashes[size] = found[by], places[by]
     return index
 
 
 def scan(index: WindowIndex, text: bytes | None) -> tuple[int, np.ndarray, set]:
     """Number of words, which of them are hit (empty array: none) and the items met."""
     words = words_of(text)
-    none = np.zeros(0, bool)
-    if not words or not index.windows:
-        return len(words), none, set()
-    ids = np.fromiter(map(index.number.get, words, repeat(-1)), np.int64, len(words))
+    hit, items = np.zeros(0, bool), set()
+    if not words or not index.hashes:
+        return len(words), hit, items
+    ids = np.fromiter(map(index.number.get, words, repeat(-1)), np.int32, len(words))
     shortest = min(index.hashes)
     unknown = np.concatenate([[-1], np.flatnonzero(ids < 0), [len(ids)]])
-    gaps = np.flatnonzero(np.diff(unknown) > shortest)
-    hit, items = None, set()
-    for g in gaps:
+    for g in np.flatnonzero(np.diff(unknown) > shortest):
         lo, hi = int(unknown[g]) + 1, int(unknown[g + 1])
         run = ids[lo:hi]
-        for size, known in index.hashes.items():
+        for size, (known, places) in index.hashes.items():
             if len(run) < size:
                 continue
             found = _hash(run, size)
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            for k in np.flatnonzero(known[at] == found).tolist():
-                owners = index.windows.get(tuple(run[k : k + size].tolist()))
-                if owners:
-                    hit = np.zeros(len(words), bool) if hit is None else hit
+            first = np.searchsorted(known, found, side="left")
+            for k in np.flatnonzero(known[np.minimum(first, len(known) - 1)] == found).tolist():
+                last = int(np.searchsorted(known, found[k], side="right"))
+                same = [p for p in places[first[k] : last].tolist() if (index.words[p : p + size] == run[k : k + size]).all()]
+                if same:
+                    hit = hit if len(hit) else np.zeros(len(words), bool)
                     hit[lo + k : lo + k + size] = True
-                    items.update(owners)
-    return len(words), none if hit is None else hit, items
+                    items.update(index.items[index.owner[p]] for p in same)
+    return len(words), hit, items
 
 
 def cut(text: bytes, hit: np.ndarray) -> bytes:
@@ -109,7 +116,7 @@ def cut(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def benchmark_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20, max_blocks: int = 4) -> list[WindowIndex] | None:
+def benchmark_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, max_blocks: int = 2) -> list[WindowIndex] | None:
     """The benchmark's windows in blocks for broadcasting; None if they take more than ``max_blocks`` blocks.
 
     The size is checked on the executors before anything is gathered."""
