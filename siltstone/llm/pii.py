@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +159,10 @@ def surrogate(key: bytes, kind: str, original: str, attempt: int = 0) -> str:
     return _digits_into(original, new)
 
 
+#: Given the key, kind, original and attempt: the replacement.
+Drawer = Callable[[bytes, str, str, int], str]
+
+
 def _entities(docs: DataFrame) -> DataFrame:
     """(kind, same, original): the distinct entities of all texts, with their least spelling."""
 
@@ -177,7 +181,7 @@ def _entities(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind string, same string, original string").groupBy("kind", "same").agg(F.min("original").alias("original"))
 
 
-def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
+def _drawn(entities: DataFrame, key: bytes, draw: Drawer) -> DataFrame:
     """Adds ``new``, the canonical surrogate at each entity's attempt."""
 
     def run(batches: Iterator) -> Iterator:
@@ -185,15 +189,15 @@ def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
 
         for batch in batches:
             kind, original, attempt = (batch.column(c).to_pylist() for c in ("kind", "original", "attempt"))
-            new = [canonical(k, surrogate(key, k, o, a)) for k, o, a in zip(kind, original, attempt, strict=True)]
+            new = [canonical(k, draw(key, k, o, a)) for k, o, a in zip(kind, original, attempt, strict=True)]
             yield batch.append_column("new", pa.array(new, pa.string()))
 
     return entities.select("kind", "same", "original", "attempt").mapInArrow(run, "kind string, same string, original string, attempt int, new string")
 
 
-def attempts(docs: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
+def attempts(docs: DataFrame, key: bytes, max_rounds: int = 40, draw: Drawer = surrogate) -> DataFrame:
     """(kind, same, attempt) of the entities that need another draw than the first, over the whole corpus."""
-    current = write_table(_drawn(_entities(docs).withColumn("attempt", F.lit(0)), key), "entities")
+    current = write_table(_drawn(_entities(docs).withColumn("attempt", F.lit(0)), key, draw), "entities")
     for _ in range(max_rounds):
         taken = current.groupBy("kind", "new").agg(F.min("same").alias("owner"), F.count("*").alias("n"))
         shared = current.join(taken.where("n > 1"), ["kind", "new"]).where("same <> owner").select("kind", "same")
@@ -203,7 +207,7 @@ def attempts(docs: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
         if again.isEmpty():
             return current.where("attempt > 0").select("kind", "same", "attempt")
         retried = current.join(again, ["kind", "same"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
-        before, current = current, write_table(_drawn(retried, key), "entities")
+        before, current = current, write_table(_drawn(retried, key, draw), "entities")
         drop_table(before)
     raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
 

@@ -80,35 +80,19 @@ def test_personal_data_keeps_kind_and_format(spark, odd_docs, no_docs):
     assert P.pseudonymise(no_docs).count() == 0 and P.pseudonymise(docs).columns == docs.columns
 
 
-def test_collisions_are_drawn_again(spark, monkeypatch):
+def test_collisions_are_drawn_again(spark):
     numbers = [f"+1 (200) 555-{i:04d}" for i in range(40)]
-    docs = spark.createDataFrame([(i, n, "en", "s", 1) for i, n in enumerate(numbers)], "doc_id long, text string, lang string, source string, n_chars long")
-    plain = P.surrogate
-
-    def narrow(key, kind, original, attempt=0):  # only 64 surrogates for 40 originals
-        n = P._Draw(key, kind, P.canonical(kind, original), str(attempt)).below(64)
-        return f"+1 (200) 555-{n + 20:04d}"
-
-    import siltstone.llm.pii as module
-
-    class Narrow:
-        """Stands for the drawing function in what is sent to the workers."""
-
-    monkeypatch.setattr(module, "surrogate", narrow)
-    key, entities = b"k", {("phone", P.canonical("phone", n)): n for n in numbers}
-    # The loop of attempts() over a plain dictionary: what the plan has to reach.
-    attempt = dict.fromkeys(entities, 0)
-    for _ in range(60):
-        new = {e: P.canonical("phone", narrow(key, "phone", o, attempt[e])) for e, o in entities.items()}
-        taken: dict[str, tuple] = {}
-        losers = [e for e in sorted(entities) if taken.setdefault(new[e], e) != e or ("phone", new[e]) in entities]
-        if not losers:
-            break
-        for e in losers:
-            attempt[e] += 1
-    assert not losers and plain is not narrow
-    monkeypatch.undo()
-    got = [r.text for r in P.pseudonymise(docs, key).collect()]
+    docs = spark.createDataFrame([(n,) for n in numbers], "text string")
+
+    def narrow(key, kind, original, attempt=0):  # 64 surrogates for 40 originals, 20 of them originals themselves
+        return f"+1 (200) 555-{P._Draw(key, kind, P.canonical(kind, original), str(attempt)).below(64) + 20:04d}"
+
+    again = {r.same: r.attempt for r in P.attempts(docs, b"k", 100, narrow).collect()}
+    new = [narrow(b"k", "phone", n, again.get(P.canonical("phone", n), 0)) for n in numbers]
+    assert again and len(set(new)) == 40 and not set(new) & set(numbers)
+    with pytest.raises(RuntimeError, match="collide"):
+        P.attempts(docs, b"k", 3, lambda *a: numbers[0])
+    got = [r.text for r in P.pseudonymise(docs, b"k").collect()]
     assert len(set(got)) == 40 and not set(got) & set(numbers)
 
 
