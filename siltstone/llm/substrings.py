@@ -222,12 +222,13 @@ def _all_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE_BUCKET) -> DataFrame:
     """(id, th, starts, counts): per keyed document, runs of starting places whose strings are repeated."""
     found = write_table(_all_units(docs, length, gram), "units")
-    repeated = found.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("bucket").alias("__bucket"))
+    # Stored, not only planned: a join of two stored sides is one whose hot buckets AQE can split.
+    repeated = write_table(found.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("bucket").alias("__bucket")), "repeated")
     found = write_table(found.join(repeated, found["bucket"] == repeated["__bucket"], "left_semi"), "repeated-units")
     sign = F.xxhash64("id", "th", "start")
     sizes = write_table(found.groupBy("bucket", "unit").agg(F.count("*").alias("n"), F.min(sign).alias("sign")), "unit-sizes")
-    kinds = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"))
-    state = sizes.join(kinds, "bucket").select(F.col("bucket").alias("__bucket"), F.col("unit").alias("__unit"), "n", "sign", "kinds")
+    kinds = write_table(sizes.groupBy("bucket").agg(F.count("*").alias("kinds")), "kinds")
+    state = write_table(sizes.join(kinds, "bucket").select(F.col("bucket").alias("__bucket"), F.col("unit").alias("__unit"), "n", "sign", "kinds"), "state")
     marked = found.join(state, (F.col("bucket") == F.col("__bucket")) & (F.col("unit") == F.col("__unit"))).select("bucket", "id", "th", "start", "count", "lead", (F.col("n") > 1).alias("full"), "kinds", (sign == F.col("sign")).alias("chosen"))
     marked = write_table(marked, "marked")
     whole = marked.where("full").select("id", "th", "start", F.col("count").cast("int").alias("count"))
