@@ -141,7 +141,10 @@ def markdown_of(node: Node | None, links: bool = True) -> str:
             out.append(before)
             stack.append((lambda s: lambda: out.append(s))(after))
             stack.extend(reversed(x.children))
-    lines = [line.strip() if not line.startswith("    ") else line.rstrip() for line in "".join(out).split("\n")]
+    lines, fenced = [], False
+    for line in "".join(out).split("\n"):
+        fenced ^= line.startswith("```")
+        lines.append(line.rstrip() if fenced else line.strip())
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
@@ -204,13 +207,13 @@ def _fenced(language: str, code: str) -> str:
 def rustdoc_sections(html: str, source_file: str) -> list[Section]:
     """An item's page: the item and its methods; a module's page: what it lists."""
     root = tree(html)
-    head = root.first(".main-heading h1, h1.fqn, h1")
-    title = re.match(RUST_TITLE, head.text(" ")) if head else None
     main = root.first("#main-content") or root.first(".main-heading") or root.first("body")
     if main is None:
         return []
     for noise in main.select(RUST_NOISE):
         noise.remove()
+    head = root.first(".main-heading h1, h1.fqn, h1")
+    title = re.match(RUST_TITLE, head.text(" ")) if head else None
     module = rust_module(source_file)
     name = title[2].strip().rsplit("::", 1)[-1].strip().strip(":") if title else ""
     if not name:
