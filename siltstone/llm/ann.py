@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by largest inner product, over balanced posting lists.
 
 Vectors get one more component that makes all norms equal, so the largest inner product is the smallest distance.
-Centroids are fitted on a bounded sample with a penalty for full clusters; every vector goes to its nearest list, and
-at a boundary to one more list whose centroid lies in another direction.  A query walks a graph of the centroids in
-memory and reads the lists whose distance is within a ratio of the nearest ones'.  How many lists, and the ratio, are
-what a brute-force search within the sample needs for the recall asked for; a sample is sparser than the whole, its
-neighbours are farther, so the estimate errs on the safe side.  Equal vectors are one entry with the
+Centroids are fitted on a sample that grows with the lists, with a penalty for full clusters; every vector goes to its
+nearest list, and at a boundary to one more list whose centroid lies in another direction.  A query walks a graph of the
+centroids in memory and reads the lists whose distance is within a ratio of the nearest ones'.  How many lists, and the
+ratio, are what vectors that took no part in the fit need to reach, at the recall asked for, their nearest neighbours
+among all vectors; those come from a brute-force pass over the whole table.  Equal vectors are one entry with the
 smallest ids that can be asked for, and lists or query sets that are still large are split by a hash, so no task gets
 more than a fixed number of rows.
 """
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import write_table
 
 TOP = 20
-LIST_SIZE, MAX_LISTS, SAMPLE = 512, 16_384, 20_000
+LIST_SIZE, MAX_LISTS = 512, 8192
+#: Vectors to fit on, at least and for each list; vectors to tune on.
+SAMPLE, PER_LIST, HELD_OUT = 20_000, 16, 256
 COPIES, BOUNDARY = 2, 1.1
 RECALL, LEAST_PROBES = 0.95, 4
 SPLIT = 4096
@@ -57,8 +59,9 @@ def fit(sample: np.ndarray, lists: int, norm: float, rounds: int = 10, degree: i
     rng = np.random.default_rng(7)
     centroids = points[np.sort(rng.choice(len(points), lists, replace=False))].copy()
     load = np.ones(lists)
+    block = min(2048, max(1, (1 << 22) // lists))
     for _ in range(rounds):
-        own = np.concatenate([np.argmin(_squared(points[k : k + 2048], centroids) * load, axis=1) for k in range(0, len(points), 2048)])
+        own = np.concatenate([np.argmin(_squared(points[k : k + block], centroids) * load, axis=1) for k in range(0, len(points), block)])
         count = np.bincount(own, minlength=lists)
         load = np.clip(load * np.sqrt((count + 1) / (len(points) / lists + 1)), 0.5, 2.0)
         total = np.zeros_like(centroids)
@@ -67,41 +70,85 @@ def fit(sample: np.ndarray, lists: int, norm: float, rounds: int = 10, degree: i
         centroids[filled] = total[filled] / count[filled, None]
     near = min(degree, lists - 1)
     graph = np.zeros((lists, near), np.int64)
-    for k in range(0, lists, 1024):
-        d = _squared(centroids[k : k + 1024], centroids)
+    for k in range(0, lists, block):
+        d = _squared(centroids[k : k + block], centroids)
         d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
-        graph[k : k + 1024] = np.argsort(d, axis=1, kind="stable")[:, :near]
+        graph[k : k + block] = np.argsort(d, axis=1, kind="stable")[:, :near]
     # Links hold both ways: a centroid that is nobody's near neighbour could not be reached otherwise.
     both = [set(row) for row in graph.tolist()]
     for k, row in enumerate(graph.tolist()):
         for c in row:
             both[c].add(k)
-    return tune(Index(centroids, [np.array(sorted(x), np.int64) for x in both], norm), sample)
+    return Index(centroids, [np.array(sorted(x), np.int64) for x in both], norm, lists)
 
 
-def tune(index: Index, sample: np.ndarray, recall: float = RECALL, queries: int = 256, top: int = TOP) -> Index:
-    """Sets probes and ratio by brute force over the sample."""
-    picked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(np.int64)
-    owners = assign(index, sample)
+def tune(index: Index, queries: np.ndarray, neighbours: list[np.ndarray], recall: float = RECALL) -> Index:
+    """Sets probes and ratio by the ``neighbours`` of ``queries``, which took no part in the fit.
+
+    The ratio alone loses half of what may be missed, and the probes what is left of it.  Without neighbours all lists
+    are read."""
     ranks, ratios = [], []
-    for k in picked:
-        score = sample @ sample[k]
-        score[k] = -np.inf
-        true = np.argsort(-score, kind="stable")[: min(top, len(sample) - 1)]
-        d = np.sqrt(((index.centroids - np.append(sample[k], 0.0)) ** 2).sum(1))
+    for query, true in zip(queries, neighbours, strict=True):
+        d = np.sqrt(((index.centroids - np.append(query, 0.0)) ** 2).sum(1))
         order = np.argsort(d, kind="stable")
         rank = np.empty(len(d), np.int64)
         rank[order] = np.arange(len(d))
         base = max(float(d[order[min(LEAST_PROBES, len(d)) - 1]]), 1e-12)
-        for t in true:
-            best = owners[t][np.argmin(rank[owners[t]])]
+        for owners in assign(index, true) if len(true) else ():
+            best = owners[np.argmin(rank[owners])]
             ranks.append(int(rank[best])), ratios.append(float(d[best]) / base)
     if ranks:
-        index.probes = max(LEAST_PROBES, int(np.quantile(ranks, recall)) + 1)
-        index.ratio = float(np.quantile(ratios, (1 + recall) / 2))
+        index.ratio = float(np.quantile(ratios, (1 + recall) / 2, method="higher"))
+        reached = np.where((np.array(ratios) <= index.ratio) | (np.array(ranks) < LEAST_PROBES), ranks, len(index.centroids))
+        index.probes = max(LEAST_PROBES, int(np.quantile(reached, recall, method="higher")) + 1)
     return index
 
 
+def nearest(entries: DataFrame, queries: np.ndarray, top: int = TOP) -> list[np.ndarray]:
+    """The ``top`` vectors of ``entries`` nearest to each of ``queries``, but for itself, by brute force; a task keeps
+    its best ones while it reads."""
+    spark = entries.sparkSession
+    shared = spark.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        queries = shared.value
+        own = [q.tobytes() for q in queries]
+        best: list[list[tuple[float, bytes]]] = [[] for _ in own]
+        for batch in batches:
+            raw = batch.column("vec").to_pylist()
+            score = queries @ _unpack(batch.column("vec")).T
+            near = np.argpartition(-score, min(top, len(raw) - 1), axis=1)[:, : top + 1] if raw else np.zeros((len(own), 0), np.int64)
+            for k, picked in enumerate(near):
+                new = [(float(score[k, v]), raw[v]) for v in picked if raw[v] != own[k]]
+                best[k] = sorted(best[k] + new, reverse=True)[:top]
+        rows = [(k, s, v) for k, found in enumerate(best) for s, v in found]
+        q, s, v = zip(*rows, strict=True) if rows else ((),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(s, pa.float64()), pa.array(v, pa.binary())], names=["query", "score", "vec"])
+
+    found = entries.select("vec").mapInArrow(run, "query int, score double, vec binary")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec"))
+    out: list[list[bytes]] = [[] for _ in queries]
+    for r in found.withColumn("place", place).where(F.col("place") <= top).collect():
+        out[r["query"]].append(bytes(r["vec"]))
+    return [np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1) for x in out]
+
+
+def build(entries: DataFrame, norm: float) -> Index:
+    """An index fitted on a sample of ``entries`` (vec) by hash and tuned on others of them."""
+    total = entries.count()
+    lists = min(MAX_LISTS, total // LIST_SIZE + 1)
+    held = min(HELD_OUT, total // 4)
+    size = min(total, max(SAMPLE, PER_LIST * lists) + held)
+    # Twice as many as asked for by the hash's range, so no task sorts more of the table.
+    some = entries.select("vec", F.xxhash64("vec").alias("at")).where(F.col("at") <= F.lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * size // total)))
+    taken = some.orderBy("at", "vec").limit(size).toPandas()["vec"]
+    sample = np.frombuffer(b"".join(taken), np.float64).reshape(len(taken), -1)
+    index = fit(sample[held:], lists, norm)
+    return tune(index, sample[:held], nearest(entries, sample[:held]) if held and lists > LEAST_PROBES else [np.zeros((0, sample.shape[1]))] * held)
+
+
 def assign(index: Index, vectors: np.ndarray) -> list[np.ndarray]:
     """The lists of each vector: the nearest, and up to COPIES - 1 more within BOUNDARY times its distance that are
     farther from every list chosen before than from the vector."""
@@ -217,9 +264,7 @@ def search(embeddings: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     rows = rows.where(F.size("vec") == widest["dim"])
     entries = write_table(_distinct(rows, keep), "vectors")
     queries = write_table(_queries(rows, every), "queries")
-    total = entries.count()
-    taken = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toPandas()["vec"]
-    index = fit(np.frombuffer(b"".join(taken), np.float64).reshape(len(taken), -1), min(MAX_LISTS, total // LIST_SIZE + 1), widest["norm"])
+    index = build(entries, widest["norm"])
     shared = spark.sparkContext.broadcast(index)
     postings = write_table(_postings(entries, shared), "postings")
     routes = write_table(_routes(queries.select("vec").distinct(), shared), "routes")

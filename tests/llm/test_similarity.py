@@ -207,3 +207,18 @@ def test_recall(spark, small):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = [len(got[q] & set([i for i in ids[np.lexsort((ids, -(v @ v[k])))] if i != q][:20])) / 20 for k, q in enumerate(ids) if q % 20 == 0]
     assert np.mean(hits) >= 0.9
+
+
+def test_probes_are_tuned_on_vectors_outside_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(A, "SAMPLE", 300)  # fewer vectors than two for each of the 188 lists
+    monkeypatch.setattr(A, "LIST_SIZE", 32)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    got: dict = {}
+    for r in A.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = v[::20] @ v.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    hits = [len(got[20 * k] & set(np.argsort(-s)[:20].tolist())) / 20 for k, s in enumerate(score)]
+    assert np.mean(hits) >= 0.92
