@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,21 @@ SYLLABLES = {"latin": ["bar", "den", "fel", "gor", "hal", "kem", "lin", "mor", "
 #: Letters that a letter of an address may become, by script and case.
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+
+
+def _upper_class() -> str:
+    """All upper-case letters as a character class; ``re`` has none."""
+    spans: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        if chr(code).isupper():
+            if spans and spans[-1][1] == code - 1:
+                spans[-1][1] = code
+            else:
+                spans.append([code, code])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+
+
+_UPPER = _upper_class()
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 #: In order of precedence: where two overlap, the one that starts first stays, of equal starts the earlier kind.
 PATTERNS = {
@@ -49,7 +65,7 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)(?!\.\d)"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])"),
-    "name": re.compile(rf"(?<!\w)(?:{_TITLE})\.?\x20(?:[^\W\d_a-z][^\W\d_]+(?:[-'][^\W\d_]+)*)(?:\x20[^\W\d_a-z][^\W\d_]+)?"),
+    "name": re.compile(rf"(?<!\w)(?:{_TITLE})\.?\x20(?:{_UPPER}[^\W\d_]+(?:[-'][^\W\d_]+)*)(?:\x20{_UPPER}[^\W\d_]+)?"),
 }
 _DIGIT = re.compile(rb"[0-9]")
 _TITLE_BYTES = re.compile("|".join(rf"{t}\.?\x20" for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)).encode())
@@ -67,7 +83,7 @@ def detect(text: str | None, raw: bytes | None = None) -> list[tuple[int, int, s
         kinds += ["ssn", "card", "ip", "phone"]
     if _TITLE_BYTES.search(raw):
         kinds.append("name")
-    found = [(m.start(), order, m.end(), kind) for order, kind in enumerate(kinds) for m in PATTERNS[kind].finditer(text) if kind != "name" or _upper_start(m[0])]
+    found = [(m.start(), order, m.end(), kind) for order, kind in enumerate(kinds) for m in PATTERNS[kind].finditer(text)]
     out, end = [], 0
     for start, _, stop, kind in sorted(found):
         if start >= end:
@@ -76,10 +92,6 @@ def detect(text: str | None, raw: bytes | None = None) -> list[tuple[int, int, s
     return out
 
 
-def _upper_start(name: str) -> bool:
-    return all(w[:1].isupper() for w in name.split()[1:])
-
-
 def canonical(kind: str, original: str) -> str:
     """What makes two mentions the same entity: case for addresses, punctuation for numbers."""
     if kind == "email":
