@@ -4,7 +4,8 @@ The corpus is reduced to cells (one for each combination of the dimensions' valu
 Raking multiplies a cell by target / current share, one dimension after another; the cells carry their targets,
 so a sweep is three windows over the cells, written to the shared folder to cut the lineage.  A document's
 sampling probability follows from its cell's calibrated ratio; what a probability above one would have asked for is
-kept as a weight, so weighted token shares meet the targets in expectation.
+kept as a weight, so weighted token shares meet the targets in expectation.  Where no weight can be carried on, the
+raking is bounded so that no probability above one is asked for, and the rate is lowered as far as that takes.
 """
 
 from __future__ import annotations
@@ -49,9 +50,11 @@ def shares(cells: DataFrame, dim: str, targets: dict[str, float]) -> DataFrame:
     return named.select(dim, (raw / F.lit(scale) if scale > 0 else F.lit(0.0)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, cap: float | None = None) -> DataFrame:
     """``cells`` (the dimensions, mass) with ``ratio``: calibrated share over the share there is.
 
+    With ``cap``, each sweep begins by cutting ratios to it, so the sweeps move what is above it to other cells; the last
+    ones' ratios may still be a little above it.
     Stops after ``sweeps`` sweeps, or when no marginal share was further than ``tolerance`` from its target.  Cells are
     already reduced from documents; a sweep is one window a dimension over them, so its plan stays small on the driver."""
     dims = list(targets)
@@ -63,7 +66,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = S
     current = write_table(start, "cells")
     columns = current.columns
     for _ in range(sweeps):
-        step = current
+        step = current if cap is None else current.withColumn("w", F.least("w", F.col("share") * F.lit(cap)))
         for d in dims:
             have = F.sum("w").over(Window.partitionBy(d))
             step = step.withColumn(f"have_{d}", have).withColumn("w", F.when(F.col(f"have_{d}") > 0, F.col("w") * F.col(f"target_{d}") / F.col(f"have_{d}")).otherwise(F.col("w")))
@@ -118,6 +121,36 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     cells = write_table(_cell(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")), "mass")
     ratios = rake(cells, targets or TARGETS)
     chance = write_table(ratios.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("ratio") * rate).alias("p")), "chances")
+    return _drawn(docs, chance, seed)
+
+
+def attainable(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float) -> float:
+    """The largest rate up to ``rate`` at which every value has the mass that its target asks for."""
+    total = cells.agg(F.sum("mass")).first()[0] or 0.0
+    for d in targets if total > 0 else ():
+        have = cells.groupBy(d).agg((F.sum("mass") / F.lit(total)).alias("have"))
+        least = have.join(shares(cells, d, targets[d]), d).where("have > 0 AND target > 0").agg(F.min(F.col("have") / F.col("target"))).first()[0]
+        rate = min(rate, rate if least is None else least)
+    return rate
+
+
+def chances(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float = RATE, sweeps: int = 5 * SWEEPS) -> DataFrame:
+    """(the dimensions, mass, p): probabilities of at most one whose expected token shares meet the targets unweighted.
+
+    ``rate`` is lowered to what the scarcest value allows, and by what the bounded raking still asks for above one."""
+    rate = attainable(cells, targets, rate)
+    ratios = rake(cells, targets, sweeps, tolerance=1e-4, cap=1.0 / rate if rate > 0 else None)
+    most = ratios.agg(F.max("ratio")).first()[0] or 0.0
+    return ratios.select(*DIMENSIONS, "mass", F.least(F.lit(1.0), F.col("ratio") * F.lit(min(rate, 1.0 / most) if most > 0 else 0.0)).alias("p"))
+
+
+def sample_unweighted(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all columns, so that they meet the targets without a weight; see :func:`chances`."""
+    cells = write_table(_cell(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")), "mass")
+    return _drawn(docs, write_table(chances(cells, targets or TARGETS, rate).drop("mass"), "chances"), seed)
+
+
+def _drawn(docs: DataFrame, chance: DataFrame, seed: str) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), *(F.coalesce(d, F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), topic_of(F.col("text")).alias("topic"), draw("doc_id", seed).alias("u"))
     return rows.join(chance, list(DIMENSIONS)).where("u < p").select("row.*")
 

@@ -90,6 +90,20 @@ def test_mixing_on_odd_rows(spark, odd_docs, no_docs):
     assert M.sample(no_docs).count() == 0
 
 
+def test_the_pipelines_draw_meets_its_targets_unweighted(spark):
+    import corpus_pipeline as C
+
+    # A source and a language with less than their targets ask for at the usual rate, in cells of their own.
+    docs = spark.createDataFrame([(i, "word " * 50, "de" if i % 25 == 0 else ("en", "fr", "es")[i % 3], "src0" if i % 20 == 0 else "src1") for i in range(9000)], "doc_id long, text string, lang string, source string")
+    rows = C.mix_sources(spark, docs, "").collect()
+    share = lambda name, v: sum(getattr(r, name) == v for r in rows) / len(rows)
+    assert share("source", "src0") == pytest.approx(0.12, abs=0.02) and share("lang", "de") == pytest.approx(0.2, abs=0.02) and len(rows) > 1200
+    cells = spark.createDataFrame([(s, lang, "prose", m) for s, lang, m in (("src0", "en", 3.0), ("src0", "de", 5.0), ("b", "en", 60.0), ("b", "de", 20.0), ("b", "fr", 7.0), ("b", "es", 5.0))], "source string, lang string, topic string, mass double")
+    got = M.chances(cells, M.TARGETS).collect()
+    kept = sum(r.mass * r.p for r in got)
+    assert max(r.p for r in got) <= 1 and sum(r.mass * r.p for r in got if r.source == "src0") / kept == pytest.approx(0.12, abs=1e-3) and kept > 30
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, small, name):
     import duckdb
