@@ -19,7 +19,8 @@ from .store import drop_table, write_table
 TOPICS = (("license", r"(?i:licensed? under|released under)"), ("table", r"\x20\|\x20"), ("marked", r"[%$&#*]{3}"), ("shout", r"[A-Z]{2}!!"))
 NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
-#: Target shares by dimension; values that are not named share the rest in proportion to the share they have.
+#: Target shares by dimension; values that are not named share the rest in proportion to the share they have.  Where the
+#: named ones leave no rest, the others keep the share they have and the named ones are scaled to what remains.
 TARGETS: dict[str, dict[str, float]] = {"source": {"src0": 0.12}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}, "topic": {"table": 0.02, "marked": 0.02, "shout": 0.01}}
 RATE, SWEEPS, TOLERANCE = 0.5, 8, 1e-6
 
@@ -42,9 +43,12 @@ def shares(cells: DataFrame, dim: str, targets: dict[str, float]) -> DataFrame:
     mass = cells.groupBy(dim).agg(F.sum("mass").alias("mass"))
     given = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else F.lit(None).cast("map<string,double>")
     named = mass.withColumn("named", F.try_element_at(given, F.col(dim)))
-    totals = named.agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("given"), F.coalesce(F.sum(F.when(F.col("named").isNull(), F.col("mass"))), F.lit(0.0)).alias("rest")).first()
+    totals = named.agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("given"), F.coalesce(F.sum(F.when(F.col("named").isNull(), F.col("mass"))), F.lit(0.0)).alias("rest"), F.sum("mass").alias("all")).first()
     free = max(0.0, 1.0 - totals["given"])
     left = free if totals["rest"] > 0 else 0.0
+    if totals["rest"] > 0 and free < 1e-9:
+        present = totals["rest"] / totals["all"]
+        left = totals["given"] * present / (1.0 - present) if present < 1.0 else 1.0
     scale = totals["given"] + left
     raw = F.coalesce("named", F.col("mass") / F.lit(totals["rest"] or 1.0) * F.lit(left))
     return named.select(dim, (raw / F.lit(scale) if scale > 0 else F.lit(0.0)).alias("target"))

@@ -90,6 +90,15 @@ def test_mixing_on_odd_rows(spark, odd_docs, no_docs):
     assert M.sample(no_docs).count() == 0
 
 
+def test_values_beside_a_full_set_of_targets_keep_their_share(spark):
+    langs = {"en": 30.0, "de": 25.0, "fr": 15.0, "es": 10.0, "it": 15.0, M.NONE: 5.0}
+    cells = spark.createDataFrame(list(langs.items()), "lang string, mass double")
+    got = {r.lang: r.target for r in M.shares(cells, "lang", M.TARGETS["lang"]).collect()}
+    assert got == pytest.approx({"en": 0.4, "de": 0.16, "fr": 0.144, "es": 0.096, "it": 0.15, M.NONE: 0.05})
+    docs = spark.createDataFrame([(i, "word " * 50, ("en", "de", "fr", "es", "it", None)[i % 6], "src0" if i % 8 == 0 else "src1") for i in range(600)], "doc_id long, text string, lang string, source string")
+    assert {r.lang for r in M.sample_unweighted(docs).collect()} == {"en", "de", "fr", "es", "it", None}
+
+
 def test_the_pipelines_draw_meets_its_targets_unweighted(spark):
     import corpus_pipeline as C
 
