@@ -15,6 +15,7 @@ import hashlib
 import hmac
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -58,21 +59,33 @@ def _upper_class() -> str:
 
 _UPPER = _upper_class()
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+#: North American numbers, other international ones in any grouping, area codes with two groups, and national numbers in
+#: pairs or behind a trunk zero.
+_PHONES = [
+    r"(?<![\w+])\+1(?:[ .()/-]{0,2}\d){10}(?!\w)",
+    r"(?<![\w+])\+[1-9](?:[ .()/-]{0,2}\d){7,14}(?!\w)",
+    r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])",
+    r"(?<![\w+])(?<!\d[ .-])(?:0[1-9](?:[ .-]\d{2}){4}|[6-9]\d{2}(?:[ .-]\d{2}){3}|[89]\d[ .-]\d{3}(?:[ .-]\d{2}){2}|0[1-9]\d{0,3}[ /-]\d{5,9})(?!\w)(?![ .-]\d)",
+]
+#: Country codes by their first digits.
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 #: In order of precedence: where two overlap, the one that starts first stays, of equal starts the earlier kind.
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)(?!\.\d)"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])"),
+    "phone": re.compile("|".join(_PHONES)),
     "name": re.compile(rf"(?<!\w)(?:{_TITLE})\.?\x20(?:{_UPPER}[^\W\d_]+(?:[-'][^\W\d_]+)*)(?:\x20{_UPPER}[^\W\d_]+)?"),
 }
+_WORD = re.compile(rf"(?<!\w){_UPPER}[^\W\d_]+(?:[-'][^\W\d_]+)*(?!\w)")
 _DIGIT = re.compile(rb"[0-9]")
 _TITLE_BYTES = re.compile("|".join(rf"{t}\.?\x20" for t in sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)).encode())
 
 
 def detect(text: str | None, raw: bytes | None = None) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind) in code points, by start."""
+    """Non-overlapping (start, end, kind) in code points, by start; an untitled mention of a name that has its title
+    elsewhere in the text is of kind ``mention``."""
     if not text:
         return []
     raw = text.encode() if raw is None else raw
@@ -89,7 +102,37 @@ def detect(text: str | None, raw: bytes | None = None) -> list[tuple[int, int, s
         if start >= end:
             out.append((start, stop, kind))
             end = stop
-    return out
+    names = _said(text, out)
+    return sorted([*out, *_mentions(text, out, names)]) if names else out
+
+
+def _said(text: str, found: list[tuple[int, int, str]]) -> dict[str, str]:
+    """The first titled name of a text by what its untitled mentions say: all of it, or the family name."""
+    names: dict[str, str] = {}
+    for start, end, kind in found:
+        if kind == "name":
+            *given, family = text[start:end].removesuffix("'s").split()[1:]
+            names.setdefault(" ".join([*given, family]), text[start:end])
+            names.setdefault(family, text[start:end])
+    return names
+
+
+def _mentions(text: str, found: list[tuple[int, int, str]], names: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    starts = [start for start, _, _ in found]
+    words = [m.span() for m in _WORD.finditer(text)]
+    k = 0
+    while k < len(words):
+        start, step = words[k][0], 1
+        for n in (2, 1):
+            if k + n > len(words) or (n == 2 and text[words[k][1] : words[k + 1][0]] != " "):
+                continue
+            said = text[start : words[k + n - 1][1]].removesuffix("'s")
+            stop, at = start + len(said), bisect_right(starts, start)
+            if said in names and (at == 0 or found[at - 1][1] <= start) and (at == len(found) or found[at][0] >= stop):
+                yield start, stop, "mention"
+                step = n
+                break
+        k += step
 
 
 def canonical(kind: str, original: str) -> str:
@@ -165,8 +208,8 @@ def surrogate(key: bytes, kind: str, original: str, attempt: int = 0) -> str:
             new = new[:-1] + str((10 - _luhn(new[:-1] + "0")) % 10)
     elif kind == "ssn":
         new = f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
-    else:  # the country code stays
-        code = len(re.match(r"\+?(\d*)", original)[1]) if original.startswith("+") else 0
+    else:  # the country code stays, and so does a trunk zero
+        code = len(_COUNTRY.match(digits)[0]) if original.startswith("+") else int(digits[0] == "0")
         new = digits[:code] + "".join(_like(d, draw, k == 0) for k, d in enumerate(digits[code:]))
     return _digits_into(original, new)
 
@@ -186,6 +229,8 @@ def _entities(docs: DataFrame) -> DataFrame:
             for raw in texts(batch):
                 text = raw.decode() if raw else ""
                 for start, end, kind in detect(text, raw):
+                    if kind == "mention":  # its titled name is there too
+                        continue
                     same = kind, canonical(kind, text[start:end])
                     least[same] = min(least.get(same, text[start:end]), text[start:end])
             yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in least], "same": [s for _, s in least], "original": list(least.values())}, schema=pa.schema([("kind", pa.string()), ("same", pa.string()), ("original", pa.string())]))
@@ -225,10 +270,13 @@ def attempts(docs: DataFrame, key: bytes, max_rounds: int = 40, draw: Drawer = s
 
 
 def rewrite(text: str, found: list[tuple[int, int, str]], key: bytes, again: dict) -> str:
-    out, at = [], 0
+    out, at, names = [], 0, _said(text, found)
     for start, end, kind in found:
-        original = text[start:end]
-        out += [text[at:start], surrogate(key, kind, original, again.get((kind, canonical(kind, original)), 0))]
+        original, said = text[start:end], 0
+        if kind == "mention":
+            kind, original, said = "name", names[original], len(original.split())
+        new = surrogate(key, kind, original, again.get((kind, canonical(kind, original)), 0))
+        out += [text[at:start], " ".join(new.split()[-said:]) if said else new]
         at = end
     return "".join([*out, text[at:]])
 
@@ -258,7 +306,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"siltstone", max_broadcast: int
                 known = shared.value if own is None else {(x["kind"], x["same"]): x["attempt"] for x in own[k] or []}
                 new.append(rewrite(text, found, key, known) if found else text)
                 counts.append(len(found))
-                spans.append(",".join(f"{kind}:{a}:{b}" for a, b, kind in found))
+                spans.append(",".join(f"{'name' if kind == 'mention' else kind}:{a}:{b}" for a, b, kind in found))
             columns = {n: batch.column(n) for n in batch.schema.names if n != "__again"} | {"text": pa.array(new, pa.string())}
             if report:
                 columns |= {"__n_entities": pa.array(counts, pa.int64()), "__spans": pa.array(spans, pa.string())}
@@ -278,7 +326,7 @@ def _with_attempts(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
             rows = {"__key": [], "kind": [], "same": []}
             for key, raw in zip(batch.column("__key").to_pylist(), texts(batch), strict=True):
                 text = raw.decode() if raw else ""
-                for kind, same in sorted({(k, canonical(k, text[a:b])) for a, b, k in detect(text, raw)}):
+                for kind, same in sorted({(k, canonical(k, text[a:b])) for a, b, k in detect(text, raw) if k != "mention"}):
                     rows["__key"].append(key), rows["kind"].append(kind), rows["same"].append(same)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(n, pa.string()) for n in rows]))
 
