@@ -58,7 +58,7 @@ def test_simhash(spark, odd_docs, no_docs):
     assert H.near_duplicates(no_docs).count() == 0
 
 
-def test_links_keep_components_of_dense_groups(spark):
+def test_links_keep_components_of_dense_groups(spark, monkeypatch):
     rng = random.Random(5)
     values = {0, (1 << 64) - 1}
     for _ in range(6):
@@ -67,13 +67,24 @@ def test_links_keep_components_of_dense_groups(spark):
             values.add(x)
             x ^= 1 << rng.randrange(64) if rng.random() < 0.7 else (1 << rng.randrange(64) | 1 << rng.randrange(64))
     values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    for bits in (1, 2):
+    for bits, large, small in ((1, H.LARGE, H.SMALL), (2, H.LARGE, H.SMALL), (2, 20, H.SMALL), (2, 20, 4), (2, H.LARGE, 4)):
+        monkeypatch.setattr(H, "LARGE", large)
+        monkeypatch.setattr(H, "SMALL", small)
         root = components(len(values), lambda i, j, b=bits: ((values[i] ^ values[j]) & ((1 << 64) - 1)).bit_count() <= b)
         marked = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, fp long")
         got = {r.fp: r.component_id for r in H.classes(marked, bits).collect()}
         assert [got[v] for v in values] == root
 
 
+def test_tally_counts_shared_positional_bytes():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 20, np.uint64)
+    b = a ^ np.uint64(0xFF00000000000001)
+    want = [[sum(x == y for x, y in zip(int(p).to_bytes(8), int(q).to_bytes(8), strict=True)) for q in b] for p in a]
+    assert H.tally(a, b).tolist() == want and all(want[k][k] == 6 for k in range(20))
+    assert all(len(set(H.SHARED[k]) & set(range(8))) == (4 if k < 6 else 6) for k in range(42))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 700)] + [(rng.randrange(800, 900), rng.randrange(800, 900)) for _ in range(60)] + [(3, 3), (1, 0)]
