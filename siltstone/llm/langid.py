@@ -1,11 +1,14 @@
 """Language identification by prediction by partial matching (PPM).
 
-One variable-order byte model a language is counted on a bounded sample and frozen.  A symbol's
-probability descends from the longest known context (three bytes) to the shortest; each level
-gives up ``d / (n + d)`` of its mass as escape (method C) and excludes what a longer context has
-already predicted.  As the statistics are frozen, the exact code length of a byte depends only on
-its three predecessors: the context tree is flattened into rows of code lengths, one row for each
-context worth keeping, and scoring a text is one gather and one sum over all of its bytes.
+One variable-order byte tree a language is counted on a bounded sample and frozen.  A byte's probability descends from
+the context of three bytes to the shortest; each level gives up ``d / (n + d)`` of its mass as escape (method C) and
+excludes what a longer context has already predicted; the bytes of no context share what is left equally.  Before a text
+stand three zero bytes, in training as in scoring.
+
+As the statistics are frozen, a byte's code length depends only on its three predecessors.  The tree is kept sparse: a
+node for each context and byte that a language has, and for each context what it costs to leave it, so a model is as
+large as its own nodes, whatever other languages there are.  A chunk of text is first reduced to its distinct four-byte
+strings; each language looks those up, and a text's code length is the sum over all of its bytes.
 """
 
 from __future__ import annotations
@@ -16,124 +19,156 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ALPHABET = 128
-CHUNK = 1 << 19
+from .store import texts
+
+CHUNK = 1 << 20
 UNKNOWN = "und"
+#: Training bytes of all languages, of one language, and of one text.
+TOTAL_BYTES, LANGUAGE_BYTES, TEXT_BYTES = 48 << 20, 2 << 20, 50_000
+#: Texts that a language learns from at least, where it has as many.
+LEAST_TEXTS = 24
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``asked`` stands in the sorted ``keys``, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
 @dataclass
-class PpmModel:
-    """``symbol`` maps bytes to symbols, ``row`` contexts to rows, ``bits`` (row, symbol) to bits by language."""
+class Level:
+    """The contexts of one length.  ``keys``, ``count``: context * 256 + byte, sorted, and how often it came;
+    ``contexts``: sorted; ``n``, ``d``: their bytes and distinct bytes; ``below_n``, ``below_d``: those of the context
+    one byte shorter, without the bytes that this one has."""
+
+    keys: np.ndarray
+    count: np.ndarray
+    contexts: np.ndarray
+    n: np.ndarray
+    d: np.ndarray
+    below_n: np.ndarray
+    below_d: np.ndarray
 
+
+@dataclass
+class Tree:
+    """One language: the levels of contexts of 0, 1, 2 and 3 bytes."""
+
+    levels: list[Level]
+
+    def bits(self, strings: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte behind the three before it, of four-byte strings as big-endian numbers."""
+        if not len(self.levels[0].keys):
+            return np.full(len(strings), 8.0)
+        out = np.zeros(len(strings))
+        open_ = np.arange(len(strings))
+        # How many bytes, and distinct ones, the present level has left; those of a context without an exclusion at first.
+        left_n = left_d = None
+        for order in range(3, -1, -1):
+            level = self.levels[order]
+            asked = strings[open_] if order == 3 else strings[open_] & np.uint32((1 << 8 * (order + 1)) - 1)
+            context, there = _find(level.contexts, asked >> np.uint32(8))
+            own_n, own_d = np.where(there, level.n[context], 0.0), np.where(there, level.d[context], 0.0)
+            if left_n is not None:  # a longer context was there and has taken its bytes out
+                own_n, own_d = np.where(np.isnan(left_n), own_n, left_n), np.where(np.isnan(left_d), own_d, left_d)
+            at, found = _find(level.keys, asked)
+            total = np.maximum(own_n + own_d, 1.0)
+            out[open_[found]] += np.log2(total[found]) - np.log2(level.count[at[found]])
+            gone = ~found
+            escaped = gone & (own_n > 0)
+            out[open_[escaped]] += np.log2(total[escaped]) - np.log2(own_d[escaped])
+            if order:
+                left_n = np.where(there, level.below_n[context], np.nan)[gone]
+                left_d = np.where(there, level.below_d[context], np.nan)[gone]
+            open_ = open_[gone]
+        out[open_] += np.log2(256.0 - len(self.levels[0].keys)) if len(open_) else 0.0
+        return out
+
+
+@dataclass
+class PpmModel:
     langs: list[str]
-    symbol: np.ndarray
-    row: np.ndarray
-    bits: np.ndarray
-
-
-def _history(sym: np.ndarray, since_start: np.ndarray) -> np.ndarray:
-    """The three symbols before each position as one number; 0 stands before a text's start."""
-    out = np.zeros(len(sym), np.int32)
-    for back, scale in ((1, 1), (2, ALPHABET), (3, ALPHABET * ALPHABET)):
-        prev = np.zeros(len(sym), np.int32)
-        prev[back:] = sym[:-back]
-        prev[since_start < back] = 0
-        out += prev * scale
-    return out
+    trees: list[Tree]
+
+
+def _strings(data: np.ndarray) -> np.ndarray:
+    """The four-byte string that ends at each byte, from the third on."""
+    wide = data.astype(np.uint32)
+    return (wide[:-3] << np.uint32(24)) | (wide[1:-2] << np.uint32(16)) | (wide[2:-1] << np.uint32(8)) | wide[3:]
+
 
+def _padded(docs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(b"\0\0\0" + t for t in docs), np.uint8)
 
-def fit(samples: dict[str, list[bytes]], min_context: int = 6) -> PpmModel:
-    """Counts contexts of up to three bytes by language and freezes their code lengths."""
+
+def fit(samples: dict[str, list[bytes]]) -> PpmModel:
+    """A tree for each language of ``samples``, every context and byte of them in it."""
     langs = sorted(samples)
-    seen = np.zeros(256, np.int64)
-    for docs in samples.values():
-        for doc in docs:
-            seen += np.bincount(np.frombuffer(doc, np.uint8), minlength=256)
-    kept = np.sort(np.argsort(-seen, kind="stable")[: min(ALPHABET - 1, int((seen > 0).sum()))])
-    symbol = np.zeros(256, np.uint8)
-    symbol[kept] = np.arange(1, len(kept) + 1)
-    others = 256 - len(kept)
-
-    codes = []
-    for lang in langs:
-        parts = [np.zeros(0, np.int64)]
-        for doc in samples[lang]:
-            sym = symbol[np.frombuffer(doc, np.uint8)].astype(np.int64)
-            parts.append(_history(sym, np.arange(len(sym))).astype(np.int64) * ALPHABET + sym)
-        codes.append(np.concatenate(parts))
-    history = np.unique(np.concatenate(codes) // ALPHABET, return_counts=True) if langs else (np.zeros(0, np.int64),) * 2
-    deep = history[0][history[1] >= min_context]
-    # Rows: the kept three-byte contexts, then every two-byte context seen, then one for each byte before.
-    pairs = np.unique(history[0] % ALPHABET**2)
-    row = np.tile(np.arange(ALPHABET, dtype=np.int32) + len(deep) + len(pairs), ALPHABET**2)
-    two = row[: ALPHABET**2].copy()
-    two[pairs] = len(deep) + np.arange(len(pairs))
-    row = np.tile(two, ALPHABET)
-    row[deep] = np.arange(len(deep))
-    n_rows = len(deep) + len(pairs) + ALPHABET
-
-    bits = np.empty((n_rows, ALPHABET, len(langs)), np.float32)
-    h2 = np.concatenate([deep % ALPHABET**2, pairs, np.full(ALPHABET, -1)])
-    h1 = np.concatenate([deep % ALPHABET, pairs % ALPHABET, np.arange(ALPHABET)])
-    for k, code in enumerate(codes):
-        order0 = np.bincount(code % ALPHABET, minlength=ALPHABET).astype(np.int32)
-        order1 = np.bincount(code % ALPHABET**2, minlength=ALPHABET**2).astype(np.int32).reshape(ALPHABET, ALPHABET)
-        order2 = np.bincount(code % ALPHABET**3, minlength=ALPHABET**3).astype(np.int32).reshape(ALPHABET**2, ALPHABET)
-        order3 = np.zeros((len(deep), ALPHABET), np.int32)
-        value, count = np.unique(code, return_counts=True)
-        at = np.searchsorted(deep, value // ALPHABET)
-        known = (at < len(deep)) & (deep[np.minimum(at, len(deep) - 1)] == value // ALPHABET) if len(deep) else np.zeros(len(value), bool)
-        order3[at[known], value[known] % ALPHABET] = count[known]
-        for lo in range(0, n_rows, 4096):
-            hi = min(n_rows, lo + 4096)
-            third = np.zeros((hi - lo, ALPHABET), np.int32)
-            if lo < len(deep):
-                third[: min(hi, len(deep)) - lo] = order3[lo : min(hi, len(deep))]
-            second = np.where(h2[lo:hi, None] >= 0, order2[np.maximum(h2[lo:hi], 0)], 0)
-            bits[lo:hi, :, k] = _code_lengths([third, second, order1[h1[lo:hi]], np.broadcast_to(order0, third.shape)], others)
-    return PpmModel(langs, symbol, row, bits)
-
-
-def _code_lengths(levels: list[np.ndarray], others: int) -> np.ndarray:
-    """Bits of each symbol, from the longest context's counts down to equal chances for what is left."""
-    shape = levels[0].shape
-    p, mass, gone = np.zeros(shape), np.ones((shape[0], 1)), np.zeros(shape, bool)
-    for counts in levels:
-        c = np.where(gone, 0, counts)
-        n, d = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        total = np.maximum(n + d, 1)
-        p += mass * c / total
-        mass = mass * np.where(n > 0, d / total, 1.0)
-        gone |= c > 0
-    width = np.zeros(ALPHABET)  # byte values of each symbol; 0 stands for every value without one of its own
-    width[0], width[1 : 257 - others] = others, 1
-    left = np.where(gone, 0.0, width)
-    p += mass * left / np.maximum(left.sum(1, keepdims=True), 1.0)
-    return -np.log2(np.maximum(p / np.maximum(width, 1.0), 1e-12))
-
-
-def code_lengths(model: PpmModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits by text and language.  ``offsets``: where each text starts in ``data``, and the end."""
-    total = np.zeros((len(offsets) - 1, len(model.langs)))
-    lengths = np.diff(offsets)
-    filled = np.flatnonzero(lengths)
-    starts = offsets[:-1][filled]
-    begin, end = int(offsets[0]), int(offsets[-1])
-    flat = model.bits.reshape(-1, len(model.langs))
-    for lo in range(begin, end, CHUNK):
-        hi = min(end, lo + CHUNK)
-        back = min(3, lo - begin)
-        sym = model.symbol[data[lo - back : hi]].astype(np.int32)
-        first = int(np.searchsorted(starts, lo, side="right")) - 1
-        last = int(np.searchsorted(starts, hi, side="left"))
-        cuts = np.maximum(starts[first:last], lo) - lo
-        since = np.full(hi - lo + back, 3, np.int32)
-        for j in range(3):
-            near = starts[(starts + j >= lo - back) & (starts + j < hi)] + j - (lo - back)
-            since[near] = np.minimum(since[near], j)
-        at = model.row[_history(sym, since)[back:]] * ALPHABET + sym[back:]
-        total[filled[first:last]] += np.add.reduceat(flat.take(at, axis=0), cuts, axis=0, dtype=np.float64)
+    return PpmModel(langs, [_tree(samples[x]) for x in langs])
+
+
+def _tree(docs: list[bytes]) -> Tree:
+    strings = np.concatenate([np.zeros(0, np.uint32), *(_strings(_padded([t])) for t in docs if t)])
+    keys, count = np.unique(strings, return_counts=True)
+    levels: list[Level] = []
+    by_order = [(keys, count)]
+    for order in (2, 1, 0):
+        keys, at = np.unique(by_order[0][0] & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        by_order.insert(0, (keys, np.bincount(at, by_order[0][1], len(keys)).astype(np.int64)))
+    for order, (keys, count) in enumerate(by_order):
+        contexts, at = np.unique(keys >> np.uint32(8), return_inverse=True)
+        n, d = np.bincount(at, count, len(contexts)), np.bincount(at, minlength=len(contexts)).astype(float)
+        if order:
+            shorter = levels[order - 1]
+            where, _ = _find(shorter.keys, keys & np.uint32((1 << 8 * order) - 1))  # all of them are there
+            below, _ = _find(shorter.contexts, contexts & np.uint32((1 << 8 * (order - 1)) - 1))
+            below_n = shorter.n[below] - np.bincount(at, shorter.count[where], len(contexts))
+            below_d = shorter.d[below] - d
+        else:
+            below_n = below_d = np.zeros(len(contexts))
+        levels.append(Level(keys, count.astype(np.float32), contexts, n.astype(np.float32), d.astype(np.float32), below_n.astype(np.float32), below_d.astype(np.float32)))
+    return Tree(levels)
+
+
+def code_lengths(model: PpmModel, docs: list[bytes]) -> np.ndarray:
+    """Bits by text and language, in chunks of whole and of cut texts."""
+    import pandas as pd
+
+    total = np.zeros((len(docs), len(model.langs)))
+
+    def add(pieces: list[tuple[int, bytes]]) -> None:
+        """Pieces of (text, its bytes behind three that are only context)."""
+        data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+        if len(data) < 4:
+            return
+        sizes = np.array([len(p) for _, p in pieces])
+        starts = np.cumsum(sizes) - sizes
+        codes, distinct = pd.factorize(_strings(data))
+        # A string belongs to the byte it ends at; those that end in a piece's first three bytes count for nothing.
+        counts = np.ones(len(data))
+        for back in range(3):
+            counts[starts + back] = 0.0
+        counts = counts[3:]
+        owner = np.maximum(starts - 3, 0)
+        for k, tree in enumerate(model.trees):
+            each = np.add.reduceat(tree.bits(distinct)[codes] * counts, owner)
+            np.add.at(total[:, k], [i for i, _ in pieces], each)
+
+    pieces, size = [], 0
+    for i, text in enumerate(docs):
+        for lo in range(0, len(text), CHUNK):
+            piece = (text[lo - 3 : lo] if lo else b"\0\0\0") + text[lo : lo + CHUNK]
+            pieces.append((i, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                add(pieces)
+                pieces, size = [], 0
+    if pieces:
+        add(pieces)
     return total
 
 
@@ -145,16 +180,11 @@ def _has_letter(text: bytes | None) -> bool:
     return bool(re.search(rb"[A-Za-z]", text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def predict(model: PpmModel, column) -> tuple[list[str], list[float], list[float | None]]:
-    """Language, score and bits a byte of each text of an Arrow binary column."""
-    import pyarrow as pa
-
-    column = column.fill_null(b"") if column.null_count else column
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or pa.py_buffer(b""), np.uint8)
-    bits = code_lengths(model, data, offsets) if model.langs else np.zeros((len(column), 0))
+def predict(model: PpmModel, docs: list[bytes | None]) -> tuple[list[str], list[float], list[float | None]]:
+    """Language, score and bits a byte of each text."""
+    bits = code_lengths(model, [t or b"" for t in docs])
     langs, scores, rates = [], [], []
-    for k, text in enumerate(column.to_pylist()):
+    for k, text in enumerate(docs):
         if not model.langs or not _has_letter(text):
             langs.append(UNKNOWN), scores.append(0.0), rates.append(None)
             continue
@@ -165,25 +195,24 @@ def predict(model: PpmModel, column) -> tuple[list[str], list[float], list[float
     return langs, scores, rates
 
 
-def sample(docs: DataFrame, per_lang: int = 300, max_bytes: int = 50_000, max_langs: int = 64) -> dict[str, list[bytes]]:
-    """A bounded training sample: in expectation ``per_lang`` texts of each language, drawn by a hash of
-    doc_id, of texts of at most ``max_bytes`` bytes, for the ``max_langs`` most frequent languages."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
+def sample(docs: DataFrame, total_bytes: int = TOTAL_BYTES, language_bytes: int = LANGUAGE_BYTES, text_bytes: int = TEXT_BYTES) -> dict[str, list[bytes]]:
+    """A bounded training sample of every language that is there, drawn by a hash of doc_id.
+
+    All languages share ``total_bytes`` equally, none takes more than ``language_bytes`` in expectation (or LEAST_TEXTS
+    texts), and a text is learnt up to ``text_bytes`` characters or an eighth of its language's share.  What comes to the
+    driver is bounded by that and one row a language."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.octet_length("text"), F.lit(text_bytes)).cast("long")).alias("bytes"))
+    found = sizes.collect()
+    if not found:
         return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    share = min(language_bytes, total_bytes // len(found))
+    cut = min(text_bytes, max(256, share // 8))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], max(min(1.0, share / max(1, r["bytes"])), min(1.0, LEAST_TEXTS / r["n"]))) for r in found], "__lang string, __rate double")
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = (
-        usable.select("lang", "text", "doc_id", drawn.alias("draw"))
-        .where((F.col("draw") < F.try_element_at(share, "lang")) & (F.octet_length("text") <= max_bytes))
-        .orderBy("draw", "doc_id", "text", "lang")
-        .limit(2 * per_lang * len(sizes))
-        .select("lang", "text")
-        .collect()
-    )
+    rows = usable.withColumn("__draw", drawn).join(F.broadcast(rates), F.col("lang") == F.col("__lang")).where("__draw < __rate")
     out: dict[str, list[bytes]] = {}
-    for r in rows:
+    for r in rows.select("lang", F.substring("text", 1, cut).alias("text")).collect():
         out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
@@ -201,15 +230,13 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] = ()) -> DataFram
         import pyarrow as pa
 
         for batch in batches:
-            langs, scores, rates = predict(shared.value, batch.column("text").cast(pa.large_binary()))
+            langs, scores, rates = predict(shared.value, texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
                 names=[*keep, "lang_pred", "score", "bits_per_byte"],
             )
 
     fields = [f for c in keep for f in frame.schema.fields if f.name == c]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return frame.mapInArrow(run, schema)
 
@@ -217,14 +244,16 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] = ()) -> DataFram
 def keep_known(docs: DataFrame, model: PpmModel, max_bits: float = 7.0) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language, with all columns.
 
-    ``und`` goes, and so does a text for which the best model needs more than ``max_bits`` bits a byte."""
+    ``und`` (null, empty and letterless texts) goes, and so does a text for which the best model needs more than
+    ``max_bits`` bits a byte; repeated rows stay repeated, null ids and labels do not matter, texts of any length are
+    scored whole, and an empty table gives no rows.  Without a learned language everything goes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            langs, _, rates = predict(shared.value, batch.column("text").cast(pa.large_binary()))
+            langs, _, rates = predict(shared.value, texts(batch))
             yield batch.filter(pa.array([lang != UNKNOWN and rate <= max_bits for lang, rate in zip(langs, rates, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -236,11 +265,12 @@ def held_out(doc_id: str = "doc_id", mod: int = 3, rest: int = 1):
 
 
 def train(docs: DataFrame, **bounds) -> PpmModel:
-    """A model from the labelled rows that are not held out."""
+    """A model from the labelled rows that are not held out; see :func:`sample`."""
     return fit(sample(docs.where(~held_out()), **bounds))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and bits_per_byte of every document; see :func:`identify`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     marked = docs.select("doc_id", "text", held_out().alias("held_out"))
     return identify(marked, train(docs), ["doc_id", "held_out"])

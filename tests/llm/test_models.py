@@ -14,23 +14,53 @@ from siltstone.llm import quality as Q
 from siltstone.llm.queries import ORACLE_SQL, QUERIES
 
 
-def test_code_lengths_are_a_distribution():
-    model = L.fit({"a": [b"abababac" * 20], "b": [b"xyxyxz" * 20]}, min_context=2)
-    for k in range(2):
-        p = np.exp2(-model.bits[:, :, k].astype(float))
-        p[:, 0] *= 256 - int((model.symbol > 0).sum())  # symbol 0 stands for all bytes without one
-        used = np.concatenate([[0], np.unique(model.symbol[model.symbol > 0])])
-        assert np.allclose(p[:, used].sum(axis=1), 1, atol=1e-3)
-
-
-def test_code_lengths_of_chunks_and_neighbours(monkeypatch):
-    model = L.fit({"a": [b"the cat sat on the mat " * 9], "b": [b"der hund und die katze " * 9]})
-    texts = [b"the mat", b"", b"die katze und der hund", b"x", b"the cat " * 50]
-    alone = [L.code_lengths(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    assert np.allclose(L.code_lengths(model, data, offsets), alone, atol=1e-3)
-    monkeypatch.setattr(L, "CHUNK", 7)
-    assert np.allclose(L.code_lengths(model, data, offsets), alone, atol=1e-3)
+def plain_ppm(docs):
+    """Counts by context as they come, and code lengths by their definition."""
+    count = {}
+    for d in docs:
+        d = b"\0\0\0" + d
+        for i in range(3, len(d)):
+            for k in range(4):
+                at = count.setdefault(d[i - k : i], {})
+                at[d[i]] = at.get(d[i], 0) + 1
+
+    def probability(context, byte):
+        mass, out = 1.0, set()
+        for k in range(3, -1, -1):
+            left = {b: n for b, n in count.get(context[3 - k :], {}).items() if b not in out}
+            if left:
+                total = sum(left.values()) + len(left)
+                if byte in left:
+                    return mass * left[byte] / total
+                mass *= len(left) / total
+                out |= set(left)
+        return mass / (256 - len(out))
+
+    return probability
+
+
+def test_code_lengths_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    samples = {"a": [b"abababac" * 6, b"abba cab"], "b": ["hier und dort wörds".encode() * 2, b"x"], "c": [bytes(rng.integers(0, 256, 400).astype(np.uint8))], "d": [b""]}
+    model = L.fit(samples)
+    texts = [b"abac abab", b"", b"x", b"die Katze h\xc3\xb6rt", bytes(rng.integers(0, 256, 60).astype(np.uint8)), b"abababac" * 40, b"\0\0a"]
+    for lang, tree in zip(model.langs, model.trees, strict=True):
+        p = plain_ppm(samples[lang])
+        want = [-sum(np.log2(p((b"\0\0\0" + t)[i : i + 3], t[i])) for i in range(len(t))) for t in texts]
+        for chunk in (L.CHUNK, 7, 3):
+            monkeypatch.setattr(L, "CHUNK", chunk)
+            assert np.allclose(L.code_lengths(model, texts)[:, model.langs.index(lang)], want, rtol=1e-5, atol=1e-3)
+        for context in (b"aba", b"\0\0\0", b"zzz", b"ba "):  # the probabilities of all bytes add up
+            strings = np.array([int.from_bytes(context + bytes([x])) for x in range(256)], np.uint32)
+            assert np.exp2(-tree.bits(strings)).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_every_language_is_learnt_within_the_bounds(spark):
+    docs = spark.createDataFrame([(i, f"lang{i % 90} " * (5 if i % 90 else 400), f"l{i % 90:02d}") for i in range(3000)] + [(9000, "long " * 20_000, "rare"), (9001, None, "empty"), (None, "x", "noid")], "doc_id long, text string, lang string")
+    got = L.sample(docs)
+    assert len(got) == 91 and "rare" in got and len(got["rare"][0]) <= L.TEXT_BYTES
+    bounded = L.sample(docs, total_bytes=91 * 4096)
+    assert len(bounded) == 91 and max(sum(map(len, v)) for v in bounded.values()) < 91 * 512 and all(len(t) <= 512 for v in bounded.values() for t in v)
 
 
 def test_language_on_odd_rows(spark, odd_docs, no_docs):
