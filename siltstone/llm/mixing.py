@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame operations alone.
 
 The corpus is reduced to cells (one for each combination of the dimensions' values) with their token mass.
-Raking multiplies a cell by target / current share, one dimension after another; the cells carry their targets,
-so a sweep is three windows over the cells, written to the shared folder to cut the lineage.  A document's
+Raking multiplies a cell by target / current share, one dimension after another, until no marginal is further than a
+tolerance from its target; what is left (targets can contradict each other) is told as ``residual``.  The cells carry their
+targets, so a sweep is three windows over the cells, written to the shared folder to cut the lineage.  A document's
 sampling probability follows from its cell's calibrated ratio; what a probability above one would have asked for is
 kept as a weight, so weighted token shares meet the targets in expectation.  Where no weight can be carried on, the
 raking is bounded so that no probability above one is asked for, and the rate is lowered as far as that takes.
@@ -13,22 +14,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import drop_table, write_table
-
-#: Topics by the first pattern that a text has; the others are prose.
-TOPICS = (("license", r"(?i:licensed? under|released under)"), ("table", r"\x20\|\x20"), ("marked", r"[%$&#*]{3}"), ("shout", r"[A-Z]{2}!!"))
+from .store import drop_table, let, write_table
+
+#: Topics by the beginnings of their words, in the four languages; a parameter of :func:`topic_of`.
+TOPICS: dict[str, tuple[str, ...]] = {
+    "science": ("scien", "physic", "chemi", "biolog", "experiment", "wissenschaft", "forsch", "recherch", "cienci"),
+    "health": ("medic", "patient", "hospital", "disease", "gesund", "krank", "maladi", "salud"),
+    "law": ("legal", "court", "lawyer", "attorney", "gericht", "gesetz", "tribunal", "abogad"),
+    "finance": ("financ", "invest", "bank", "market", "econom", "wirtschaft", "aktie", "bourse"),
+    "technology": ("software", "comput", "algorithm", "program", "internet", "rechner", "logiciel", "ordenador"),
+    "sport": ("football", "soccer", "olympi", "athlet", "champion", "fussball", "sporti", "deport"),
+    "politics": ("politic", "parliament", "election", "government", "regierung", "gouvernement", "gobierno", "wahl"),
+    "travel": ("travel", "touris", "hotel", "airport", "reise", "voyage", "viaje", "flughafen"),
+}
+#: A text has the topic with the most such words, of so many at least; equal counts go to the first.
+LEAST_WORDS = 2
+#: Texts without a topic by the first pattern that they have; the others are prose.
+FORMS = (("license", r"(?i:licensed? under|released under)"), ("table", r"\x20\|\x20"), ("marked", r"[%$&#*]{3}"), ("shout", r"[A-Z]{2}!!"))
 NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares by dimension; values that are not named share the rest in proportion to the share they have.  Where the
 #: named ones leave no rest, the others keep the share they have and the named ones are scaled to what remains.
 TARGETS: dict[str, dict[str, float]] = {"source": {"src0": 0.12}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}, "topic": {"table": 0.02, "marked": 0.02, "shout": 0.01}}
-RATE, SWEEPS, TOLERANCE = 0.5, 8, 1e-6
+RATE, SWEEPS, TOLERANCE = 0.5, 60, 1e-7
+
+
+def _words_pattern(topics: dict[str, tuple[str, ...]]) -> str:
+    """One pattern for all beginnings; what stands before a word is taken with it, so no look-behind is needed."""
+    return f"(?:^|[^a-z])({'|'.join(w for words in topics.values() for w in words)})"
+
+
+def topic_of(text: Column, topics: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The topic of a text, else its form, else ``prose``; null texts are prose."""
+    topics = TOPICS if topics is None else topics
+    form = F.lit("prose")
+    for name, pattern in reversed(FORMS):
+        form = F.when(text.rlike(pattern), F.lit(name)).otherwise(form)
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+    def counted(hits: Column, k: int, name: str) -> Column:
+        return F.struct(F.size(F.filter(hits, lambda h: h.isin(*topics[name]))).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name"))
 
-def topic_of(text: Column) -> Column:
-    out = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    def best(hits: Column) -> Column:
+        return F.array_max(F.array(*(counted(hits, k, name) for k, name in enumerate(topics))))
+
+    found = F.when(lower.rlike(_words_pattern(topics)), let(F.regexp_extract_all(lower, F.lit(_words_pattern(topics)), F.lit(1)), best)) if topics else None
+    out = form if found is None else let(found, lambda b: F.when(b["n"] >= LEAST_WORDS, b["name"]).otherwise(form))
     return F.coalesce(out, F.lit("prose"))
 
 
@@ -54,13 +85,20 @@ def shares(cells: DataFrame, dim: str, targets: dict[str, float]) -> DataFrame:
     return named.select(dim, (raw / F.lit(scale) if scale > 0 else F.lit(0.0)).alias("target"))
 
 
+def _off(dims: list[str]) -> Column:
+    """How far the furthest marginal is from its target."""
+    return F.max(F.greatest(F.lit(0.0), *(F.abs(F.col(f"have_{d}") - F.col(f"target_{d}")) for d in dims)))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, cap: float | None = None) -> DataFrame:
-    """``cells`` (the dimensions, mass) with ``ratio``: calibrated share over the share there is.
+    """``cells`` (the dimensions, mass) with ``ratio``: calibrated share over the share there is, and ``residual``: how
+    far the furthest marginal has stayed from its target.
 
     With ``cap``, each sweep begins by cutting ratios to it, so the sweeps move what is above it to other cells; the last
     ones' ratios may still be a little above it.
-    Stops after ``sweeps`` sweeps, or when no marginal share was further than ``tolerance`` from its target.  Cells are
-    already reduced from documents; a sweep is one window a dimension over them, so its plan stays small on the driver."""
+    Stops when no marginal was further than ``tolerance`` from its target, or after ``sweeps`` sweeps; the residual tells
+    which.  Cells are already reduced from documents; a sweep is one window a dimension over them, so its plan stays small
+    on the driver."""
     dims = list(targets)
     total = cells.agg(F.sum("mass")).first()[0] or 0.0
     share = F.col("mass") / F.lit(total) if total > 0 else F.lit(0.0)
@@ -69,19 +107,21 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = S
         start = start.join(shares(cells, d, targets[d]).withColumnRenamed("target", f"target_{d}"), d)
     current = write_table(start, "cells")
     columns = current.columns
+    have = {f"have_{d}": F.sum("w").over(Window.partitionBy(d)) for d in dims}
     for _ in range(sweeps):
         step = current if cap is None else current.withColumn("w", F.least("w", F.col("share") * F.lit(cap)))
         for d in dims:
-            have = F.sum("w").over(Window.partitionBy(d))
-            step = step.withColumn(f"have_{d}", have).withColumn("w", F.when(F.col(f"have_{d}") > 0, F.col("w") * F.col(f"target_{d}") / F.col(f"have_{d}")).otherwise(F.col("w")))
+            step = step.withColumn(f"have_{d}", have[f"have_{d}"]).withColumn("w", F.when(F.col(f"have_{d}") > 0, F.col("w") * F.col(f"target_{d}") / F.col(f"have_{d}")).otherwise(F.col("w")))
         before, current = current, write_table(step, "cells")
-        worst = current.agg(F.max(F.greatest(F.lit(0.0), *(F.abs(F.col(f"have_{d}") - F.col(f"target_{d}")) for d in dims)))).first()[0]
+        worst = current.agg(_off(dims)).first()[0]
         drop_table(before)
         path, current = current._scratch_path, current.select(*columns)
         current._scratch_path = path
         if worst is None or worst <= tolerance:
             break
-    return current.select(*dims, "mass", F.when(F.col("share") > 0, F.col("w") / F.col("share")).otherwise(0.0).alias("ratio"))
+    # A cell without mass has no share to move, so a value without any is no miss.
+    residual = current.withColumns(have).where(" OR ".join(f"have_{d} > 0" for d in dims)).agg(_off(dims)).first()[0] if total > 0 else None
+    return current.select(*dims, "mass", F.when(F.col("share") > 0, F.col("w") / F.col("share")).otherwise(0.0).alias("ratio"), F.lit(float(residual or 0.0)).alias("residual"))
 
 
 def _cell(docs: DataFrame) -> DataFrame:
@@ -95,7 +135,8 @@ def draw(doc_id: str, seed: str) -> Column:
 
 
 def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, seed: str = "mix", sweeps: int = SWEEPS) -> DataFrame:
-    """doc_id, the dimensions, n_tokens, probability, weight and sampled of every row of ``docs``.
+    """doc_id, the dimensions, n_tokens, probability, weight, sampled and residual (of the fit, the same in all rows) of
+    every row of ``docs``.
 
     ``rate``: the share of all tokens asked for.  m = rate * ratio of the cell; probability = min(1, m) and weight =
     max(1, m).  Null ids are drawn as one id; repeated rows share their draw; texts without words have no mass but
@@ -107,9 +148,9 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None = Non
     # The cells are as many as combinations of values: small as a rule, so AQE may broadcast them by their measured size.
     # Beyond that they are joined by a shuffle, dealt by the cell and a salt, as a cell can hold a third of all rows.
     multiple = F.col("ratio") * F.lit(rate)
-    joined = salted_join(marked, ratios.select(*DIMENSIONS, "ratio"), list(DIMENSIONS))
+    joined = salted_join(marked, ratios.select(*DIMENSIONS, "ratio", "residual"), list(DIMENSIONS))
     return joined.select(
-        "doc_id", *DIMENSIONS, "n_tokens", F.least(F.lit(1.0), multiple).alias("probability"), F.greatest(F.lit(1.0), multiple).alias("weight"), (draw("doc_id", seed) < F.least(F.lit(1.0), multiple)).alias("sampled")
+        "doc_id", *DIMENSIONS, "n_tokens", F.least(F.lit(1.0), multiple).alias("probability"), F.greatest(F.lit(1.0), multiple).alias("weight"), (draw("doc_id", seed) < F.least(F.lit(1.0), multiple)).alias("sampled"), "residual"
     )
 
 
@@ -138,7 +179,7 @@ def attainable(cells: DataFrame, targets: dict[str, dict[str, float]], rate: flo
     return rate
 
 
-def chances(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float = RATE, sweeps: int = 5 * SWEEPS) -> DataFrame:
+def chances(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float = RATE, sweeps: int = SWEEPS) -> DataFrame:
     """(the dimensions, mass, p): probabilities of at most one whose expected token shares meet the targets unweighted.
 
     ``rate`` is lowered to what the scarcest value allows, and by what the bounded raking still asks for above one."""
@@ -156,49 +197,65 @@ def sample_unweighted(docs: DataFrame, targets: dict[str, dict[str, float]] | No
 
 def _drawn(docs: DataFrame, chance: DataFrame, seed: str) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), *(F.coalesce(d, F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]), topic_of(F.col("text")).alias("topic"), draw("doc_id", seed).alias("u"))
-    return rows.join(chance, list(DIMENSIONS)).where("u < p").select("row.*")
+    # Beyond what a broadcast takes, a cell's rows (a third of all, maybe) are spread by a salt of the draw.
+    salts = 64
+    spread = rows.withColumn("__salt", F.floor(F.col("u") * F.lit(float(1 << 20))).cast("long") % salts)
+    copies = chance.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copies, [*DIMENSIONS, "__salt"]).where("u < p").select("row.*")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """Probability, weight and draw of every document; see :func:`calibrate`."""
     out = calibrate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
-    return out.withColumns({c: F.round(c, 4) for c in ("probability", "weight")})
+    return out.withColumns({c: F.round(c, 4) for c in ("probability", "weight", "residual")})
 
 
 def _oracle() -> str:
-    """The same fit in SQL: the sweeps unrolled."""
-    topic = "'prose'"
-    for name, pattern in reversed(TOPICS):
-        topic = f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{name}' ELSE {topic} END"
-    sql = f"""WITH marked AS (
-  SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE WHEN text IS NULL THEN 'prose' ELSE {topic} END AS topic,
+    """The same fit in SQL: one dimension after another in a recursive query, SWEEPS times."""
+    form = "'prose'"
+    for name, pattern in reversed(FORMS):
+        form = f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{name}' ELSE {form} END"
+    hits = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_words_pattern(TOPICS)}', 1)"
+    counts = ", ".join("len(list_filter(hits, lambda h: h IN (" + ", ".join(f"'{w}'" for w in words) + ")))" for words in TOPICS.values())
+    names = ", ".join(f"'{name}'" for name in TOPICS)
+    sql = f"""WITH RECURSIVE heard AS (
+  SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, text, {hits} AS hits FROM documents
+), counted AS (
+  SELECT *, [{counts}] AS n FROM heard
+), marked AS (
+  SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN 'prose' WHEN list_max(n) >= {LEAST_WORDS} THEN [{names}][list_position(n, list_max(n))] ELSE {form} END AS topic,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
-  FROM documents
+  FROM counted
 ), cells AS (
   SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM marked GROUP BY ALL
 ), c0 AS (
-  SELECT *, CASE WHEN sum(mass) OVER () > 0 THEN mass / sum(mass) OVER () ELSE 0 END AS share, CASE WHEN sum(mass) OVER () > 0 THEN mass / sum(mass) OVER () ELSE 0 END AS w FROM cells
+  SELECT *, CASE WHEN sum(mass) OVER () > 0 THEN mass / sum(mass) OVER () ELSE 0 END AS share FROM cells
 )"""
     for d in DIMENSIONS:
         named = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS[d].items())
         sql += f""", m_{d} AS (
   SELECT {d}, sum(mass) AS mass, CASE {d} {named} END AS named FROM cells GROUP BY {d}
+), s_{d} AS (
+  SELECT *, coalesce(sum(named) OVER (), 0) AS given, coalesce(sum(mass) FILTER (WHERE named IS NULL) OVER (), 0) AS rest, sum(mass) OVER () AS whole FROM m_{d}
 ), r_{d} AS (
-  SELECT {d}, coalesce(named, mass / sum(CASE WHEN named IS NULL THEN mass END) OVER () * greatest(0.0, 1.0 - coalesce(sum(named) OVER (), 0)), 0) AS raw FROM m_{d}
+  SELECT {d}, coalesce(named, mass / rest * CASE WHEN 1.0 - given >= 1e-9 THEN 1.0 - given WHEN rest < whole THEN given * (rest / whole) / (1 - rest / whole) ELSE 1.0 END, 0) AS raw FROM s_{d}
 ), t_{d} AS (
-  SELECT {d}, raw / sum(raw) OVER () AS target FROM r_{d}
-)"""
-    at = "c0"
-    for k in range(SWEEPS):
-        for d in DIMENSIONS:
-            new = f"c{k}_{d}"
-            sql += f""", {new} AS (
-  SELECT c.* EXCLUDE (w), w * t.target / h.have AS w FROM {at} c JOIN t_{d} t USING ({d}) JOIN (SELECT {d}, sum(w) AS have FROM {at} GROUP BY {d}) h USING ({d})
+  SELECT {d}, raw / sum(raw) OVER () AS target_{d} FROM r_{d}
 )"""
-            at = new
+    turn = " ".join(f"WHEN {k} THEN CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * target_{d} / sum(w) OVER (PARTITION BY {d}) ELSE w END" for k, d in enumerate(DIMENSIONS))
+    columns = "source, lang, topic, share, target_source, target_lang, target_topic"
+    off = ", ".join(f"abs(sum(w) OVER (PARTITION BY {d}) - target_{d})" for d in DIMENSIONS)
     drawn = f"CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '{NONE}')), 1, 8)) AS UBIGINT) / 4294967296.0"
-    return sql + f""" SELECT doc_id, m.source, m.lang, m.topic, n_tokens, round(least(1.0, {RATE} * w / share), 4) AS probability, round(greatest(1.0, {RATE} * w / share), 4) AS weight,
-  {drawn} < least(1.0, {RATE} * w / share) AS sampled
-FROM marked m JOIN {at} c ON m.source = c.source AND m.lang = c.lang AND m.topic = c.topic"""
+    return sql + f""", swept AS (
+  SELECT 0 AS k, {columns}, share AS w FROM c0 JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)
+  UNION ALL
+  SELECT k + 1, {columns}, CASE k % 3 {turn} END FROM swept WHERE k < {3 * SWEEPS}
+), fitted AS (
+  SELECT source, lang, topic, CASE WHEN share > 0 THEN w / share ELSE 0 END AS ratio, greatest({off}) AS off FROM swept WHERE k = {3 * SWEEPS}
+)
+SELECT doc_id, m.source, m.lang, m.topic, n_tokens, round(least(1.0, {RATE} * ratio), 4) AS probability, round(greatest(1.0, {RATE} * ratio), 4) AS weight, {drawn} < least(1.0, {RATE} * ratio) AS sampled,
+       round((SELECT max(off) FROM fitted), 4) AS residual
+FROM marked m JOIN fitted f ON m.source = f.source AND m.lang = f.lang AND m.topic = f.topic"""
 
 
 OP2_SQL = _oracle()

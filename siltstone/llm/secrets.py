@@ -9,12 +9,11 @@ their rows; what was scanned before is neither scanned nor written again.  The f
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import shared_dir
+from .store import let, shared_dir
 
 #: Kinds in the order in which they are listed; (pattern, least length, whether of group 2 only).  Fixed values.  The
 #: least lengths of the two kinds that are one run of characters stand in their patterns: a run that is too short is
@@ -34,11 +33,6 @@ SPANS = "array<struct<start:bigint,order:int,stop:bigint,kind:string>>"
 LEDGER = f"blob string, version int, spans {SPANS}"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: what a lambda does not bind is computed again in each of its steps."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(sizes: Column) -> Column:
     """Running sums of an array of longs (a bound one).
 
@@ -52,9 +46,9 @@ def _running(sizes: Column) -> Column:
         return F.flatten(F.zip_with(blocks, F.slice(sums, 1, F.size(blocks)), lambda b, before: F.slice(F.aggregate(b, F.array(before), grow), 2, F.size(b))))
 
     def blocked(width: Column) -> Column:
-        return _let(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int"))), lambda b: F.slice(sizes, b * width + 1, width)), summed)
+        return let(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int"))), lambda b: F.slice(sizes, b * width + 1, width)), summed)
 
-    return _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int")), blocked)
+    return let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int")), blocked)
 
 
 def spans_of(text: Column, kind: str, order: int) -> Column:
@@ -67,14 +61,14 @@ def spans_of(text: Column, kind: str, order: int) -> Column:
     span = lambda stop, size: F.struct((stop - size).alias("start"), F.lit(order).alias("order"), stop.alias("stop"), F.lit(kind).alias("kind"))
 
     def placed(sizes: Column) -> Column:
-        stops = _let(F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: g + s), _running)
+        stops = let(F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: g + s), _running)
         spans = F.zip_with(stops, sizes, span)
         if not second:
             return F.filter(spans, lambda x: x["stop"] - x["start"] >= least)
         judged = F.zip_with(spans, lengths(2), lambda x, n: F.struct(x.alias("span"), n.alias("n")))
         return F.transform(F.filter(judged, lambda r: r["n"] >= least), lambda r: r["span"])
 
-    return F.when(text.rlike(HINTS[kind]), _let(lengths(0), placed)).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(HINTS[kind]), let(lengths(0), placed)).otherwise(F.array().cast(SPANS))
 
 
 def scan(blobs: DataFrame, version: int = VERSION) -> DataFrame:

@@ -1,10 +1,20 @@
-"""What the operators share: scratch tables, and texts as bytes."""
+"""What the operators share: scratch tables, bound values in columns, and texts as bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from siltstone.scratch import drop_table, shared_dir, write_table
 
-__all__ = ["drop_table", "shared_dir", "texts", "write_table"]
+__all__ = ["drop_table", "let", "shared_dir", "texts", "write_table"]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: what a lambda does not bind is computed again in each of its steps."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def texts(batch, name: str = "text") -> list[bytes | None]:

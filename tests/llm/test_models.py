@@ -108,9 +108,19 @@ def test_raking_meets_its_targets(spark):
     total = sum(r.mass for r in got)
     share = lambda d, v: sum(r.mass / total * r.ratio for r in got if r[d] == v)
     assert share("source", "a") == pytest.approx(0.5, abs=1e-6) and share("topic", "p") == pytest.approx(0.9, abs=1e-6)
+    assert max(r.residual for r in got) < 1e-8
+    apart = M.rake(spark.createDataFrame([("a", "x", 5.0), ("b", "y", 5.0)], "source string, lang string, mass double"), {"source": {"a": 0.9}, "lang": {"x": 0.1}}, sweeps=5).collect()
+    assert apart[0].residual == pytest.approx(0.8)  # both at once can't be met, and that is told
     assert share("lang", "x") == pytest.approx(0.2, abs=1e-6) and share("lang", "z") == pytest.approx(0.6, abs=1e-6)  # the language that is not there leaves its share to the rest
 
 
+def test_topics(spark):
+    texts = {"The bank, a MARKET and one hospital": "finance", "bank court": "prose", "court bank court bank": "law", "riverbank embankment": "prose", "Die Regierung, die Wahlen": "politics", "a | b licensed under": "license", "software,software | x": "technology", None: "prose", "": "prose"}
+    got = {r.t: r.topic for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.topic_of(F.col("t")).alias("topic")).collect()}
+    assert got == texts
+    assert spark.createDataFrame([("my own words",)], "t string").select(M.topic_of(F.col("t"), {"mine": ("own", "word")}).alias("topic")).first().topic == "mine"
+
+
 def test_mixing_on_odd_rows(spark, odd_docs, no_docs):
     rows = M.calibrate(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.probability <= 1 <= r.weight for r in rows)
