@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import texts, write_table
+from .store import drop_table, texts, write_table
 
 #: Bytes that are part of a word: 0-9, a-z (A-Z is lower-cased) and everything outside ASCII.
 _TO_WORD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -176,8 +176,48 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, **sizes) -> Dat
     return frame.mapInArrow(run, T.StructType([frame.schema["doc_id"], *fields]))
 
 
-def _windows(df: DataFrame, key: str, sizes: list[int], width: int, whole_items: bool) -> DataFrame:
-    """(key, size, at, gram): every window of each text, as a digest of its words."""
+#: Bits of the filter that document windows pass before they are shuffled, as a power of two; 64 MB at most.
+LEAST_FILTER, MOST_FILTER = 20, 29
+#: Parts that a gram of many documents is spread over.
+SALTS = 16
+
+
+def _places(grams: list[bytes], power: int) -> np.ndarray:
+    """Two places in a filter of 2 ** ``power`` bits for each digest."""
+    words = np.frombuffer(b"".join(grams), ">u4").reshape(len(grams), 4)[:, :2].astype(np.int64)
+    return words & ((1 << power) - 1)
+
+
+def _filter(items: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the items' grams: its power, and its bits; made in blocks on the executors."""
+    n = items.count()
+    power = min(MOST_FILTER, max(LEAST_FILTER, int(16 * max(n, 1)).bit_length()))
+    shift = min(power, 19)
+
+    def places(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = np.unique(_places(batch.column("gram").to_pylist(), power))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> shift), pa.array(at & ((1 << shift) - 1))], names=["block", "bit"])
+
+    def packed(table):
+        import pyarrow as pa
+
+        bits = np.zeros(1 << shift, np.uint8)
+        bits[table.column("bit").to_numpy()] = 1
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    rows = items.select("gram").mapInArrow(places, "block long, bit long").distinct().groupBy("block").applyInArrow(packed, "block long, bits binary").collect()
+    out = np.zeros((1 << (power - shift), 1 << (shift - 3)), np.uint8)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return power, out.reshape(-1)
+
+
+def _windows(df: DataFrame, key: str, sizes: list[int], width: int, whole_items: bool, shared=None) -> DataFrame:
+    """(key, size, at, gram): every window of each text, as a digest of its words; with the broadcast filter ``shared``,
+    those that may be in it."""
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string("size int, at long, gram binary").fields])
 
     def run(batches: Iterator) -> Iterator:
@@ -189,22 +229,44 @@ def _windows(df: DataFrame, key: str, sizes: list[int], width: int, whole_items:
                 for size in [min(width, len(words))] if whole_items else sizes:
                     count = len(words) - size + 1 if words and size else 0
                     for lo in range(0, max(count, 0), 8192):
-                        grams = [hashlib.md5(b" ".join(words[j : j + size])).digest() for j in range(lo, min(lo + 8192, count))]
-                        yield pa.RecordBatch.from_pydict({key: [k] * len(grams), "size": [size] * len(grams), "at": list(range(lo, lo + len(grams))), "gram": grams}, schema=pa.schema([(key, batch.schema.field(key).type), ("size", pa.int32()), ("at", pa.int64()), ("gram", pa.binary())]))
+                        at = list(range(lo, min(lo + 8192, count)))
+                        grams = [hashlib.md5(b" ".join(words[j : j + size])).digest() for j in at]
+                        if shared is not None:
+                            power, bits = shared.value
+                            place = _places(grams, power)
+                            maybe = ((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(axis=1)
+                            at, grams = [at[j] for j in np.flatnonzero(maybe)], [grams[j] for j in np.flatnonzero(maybe)]
+                        if grams:
+                            yield pa.RecordBatch.from_pydict({key: [k] * len(grams), "size": [size] * len(grams), "at": at, "gram": grams}, schema=pa.schema([(key, batch.schema.field(key).type), ("size", pa.int32()), ("at", pa.int64()), ("gram", pa.binary())]))
 
     return df.select(key, "text").mapInArrow(run, schema)
 
 
-def _find_by_join(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """The way for benchmarks too large to broadcast: window digests meet in a shuffle join.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
+
 
-    Results depend on the text alone, so texts are keyed by their SHA-256 and repeated ones are worked once."""
+def _met(keyed: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """(__key, size, at, item_id): the windows of the texts (by their SHA-256) that an item has.
+
+    The way for benchmarks too large to broadcast: a filter of fixed size keeps nearly all other windows where they are,
+    the rest meets the items' digests in a shuffle join, a gram of many texts in several parts.  Repeated texts are worked
+    once."""
     items = write_table(_windows(benchmark, "item_id", [], width, True).distinct(), "windows")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``width`` numbers
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    grams = items.select("item_id", "size", "gram").distinct()
+    shared = keyed.sparkSession.sparkContext.broadcast(_filter(items))
     once = keyed.groupBy("__key").agg(F.any_value("text").alias("text"))
-    met = _windows(once, "__key", sizes, width, False).join(items.select("item_id", "size", "gram").distinct(), ["size", "gram"])
-    met = write_table(met.select("__key", "size", "at", "item_id").distinct(), "hits")
+    asked = write_table(_windows(once, "__key", sizes, width, False, shared).withColumn("salt", F.pmod(F.xxhash64("__key", "at"), F.lit(SALTS))), "asked")
+    copies = grams.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = write_table(asked.join(copies, ["size", "gram", "salt"]).select("__key", "size", "at", "item_id").distinct(), "hits")
+    drop_table(items), drop_table(asked)
+    return met
+
+
+def _find_by_join(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    keyed = _keyed(docs)
+    met = _met(keyed, benchmark, width)
     owners = met.select("__key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("__key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = met.select("__key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")).distinct().groupBy("__key").agg(F.count("*").alias("n_hit"))
     text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -221,33 +283,51 @@ def _find_by_join(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFram
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, mode: str = "documents", **sizes) -> DataFrame:
     """``docs`` without contaminated documents, or (``mode="spans"``) without their hit words.
 
-    All columns stay; a text cut down to nothing stays as an empty one."""
+    All columns stay, of whatever names; a text cut down to nothing stays as an empty one; null and empty texts are clean
+    and stay; repeated rows stay repeated or go together; texts of any length are read whole; an empty table gives no
+    rows, and an empty benchmark, or one of null texts, leaves all rows.  A benchmark of any size is taken in either
+    mode."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode: {mode}")
     blocks = benchmark_blocks(benchmark, width, **sizes)
     if blocks is None:
-        if mode == "spans":
-            raise ValueError("spans are cut only against a benchmark that fits the broadcast blocks")
-        dirty = _find_by_join(docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text"), benchmark, width).where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
-        return docs.join(dirty, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == dirty["__dirty"], "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+        met = _met(_keyed(docs.select("text")), benchmark, width)
+        key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+        if mode == "documents":
+            dirty = met.select(F.col("__key").alias("__dirty")).distinct()
+            return docs.join(dirty, key == dirty["__dirty"], "left_anti")
+        own = met.select("__key", "at", "size").groupBy(F.col("__key").alias("__dirty")).agg(F.collect_set(F.struct("at", "size")).alias("__hits"))
+        joined = docs.join(own, key == own["__dirty"], "left").drop("__dirty")
+    shared = None if blocks is None else docs.sparkSession.sparkContext.broadcast(blocks)
+
+    def told(batch) -> list[np.ndarray]:
+        """The hit words of each text, as the shuffle join has found them."""
+        out = []
+        for text, spans in zip(texts(batch), batch.column("__hits").to_pylist(), strict=True):
+            hit = np.zeros(len(words_of(text)) if spans else 0, bool)
+            for s in spans or []:
+                hit[s["at"] : s["at"] + s["size"]] = True
+            out.append(hit)
+        return out
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             values = texts(batch)
-            hits = [_scan_all(shared.value, t)[1] for t in values]
+            hits = told(batch) if shared is None else [_scan_all(shared.value, t)[1] for t in values]
             if mode == "documents":
                 yield batch.filter(pa.array([not len(h) for h in hits], pa.bool_()))
                 continue
             new = pa.array([t if t is None or not len(h) else cut(t, h) for t, h in zip(values, hits, strict=True)], pa.binary()).cast(pa.string())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", new)
+            out = batch.set_column(batch.schema.get_field_index("text"), "text", new)
+            yield out if shared is not None else out.drop_columns(["__hits"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return (docs if shared is not None else joined).mapInArrow(run, docs.schema)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Contamination of every document by the benchmark; see :func:`find`."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return find(docs, benchmark)
 
