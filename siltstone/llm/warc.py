@@ -12,6 +12,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Smaller payloads are always stored.
 LEAST_SHARED = 1000
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 32 << 20, 3
+#: Groups of equal payloads that are sent to the rows.
+MAX_BROADCAST = 100_000
 
 
 @dataclass
@@ -41,8 +44,11 @@ def _urn(number: int | None) -> str:
     return "<urn:page:null>" if number is None else f"<urn:page:{number}>"
 
 
-def _line(value: str) -> str:
-    return "".join(f"%{ord(c):02X}" if c in "\r\n\x00" else c for c in value)
+def _line(value: str) -> tuple[str, bool]:
+    """A value for a header line, and whether it had to be escaped: line ends, zeros and white space at its ends."""
+    if not any(c in value for c in "\r\n\0") and value == value.strip():
+        return value, False
+    return quote(value, safe="/:?#[]@!$&'()*+,;=~"), True
 
 
 def encode(record: Record) -> bytes:
@@ -50,7 +56,8 @@ def encode(record: Record) -> bytes:
     body = b"" if record.revisit else record.payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if record.revisit else 'response'}", f"WARC-Record-ID: {_urn(record.number)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if record.url is not None:
-        head.append(f"WARC-Target-URI: {_line(record.url)}")
+        line, escaped = _line(record.url)
+        head += [f"WARC-Target-URI: {line}", *(["X-Target-URI-Escaped: yes"] if escaped else [])]
     head += ["Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{record.digest}", f"X-Payload-Length: {record.length}"]
     if record.revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(record.refers_to)}"]
@@ -66,8 +73,9 @@ def decode(data: bytes, at: int = 0) -> Record:
         raise ValueError("no WARC record here")
     head = dict(line.split(": ", 1) for line in lines)
     number = lambda urn: None if urn in (None, "<urn:page:null>") else int(urn.removeprefix("<urn:page:").removesuffix(">"))
-    size = int(head["Content-Length"])
-    return Record(number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), data[end + 4 : end + 4 + size], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]), head["WARC-Type"] == "revisit", number(head.get("WARC-Refers-To")))
+    size, url = int(head["Content-Length"]), head.get("WARC-Target-URI")
+    url = unquote(url) if "X-Target-URI-Escaped" in head else url
+    return Record(number(head["WARC-Record-ID"]), url, data[end + 4 : end + 4 + size], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]), head["WARC-Type"] == "revisit", number(head.get("WARC-Refers-To")))
 
 
 class BundleWriter:
@@ -103,8 +111,8 @@ class BundleWriter:
         return b"".join(data for data, _ in self.frames) + struct.pack("<II", SKIPPABLE, len(table) + len(footer)) + table + footer
 
 
-def seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(offset, compressed size, decompressed size) of each frame, from the footer."""
+def seek_table(bundle: bytes | memoryview) -> list[tuple[int, int, int]]:
+    """(offset, compressed size, decompressed size) of each frame, from the footer; nothing else is read."""
     count, flags, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != SEEKABLE:
         raise ValueError("no seek table at the end")
@@ -126,17 +134,20 @@ def read_record(bundle: bytes, frame: int, offset: int) -> Record:
     return decode(zstandard.ZstdDecompressor().decompress(bundle[at : at + packed], max_output_size=raw), offset)
 
 
-def plan_records(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
+def plan_records(pages: DataFrame, least_shared: int = LEAST_SHARED, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest and refers_to (null: a response) of each row.
 
-    Large payloads are grouped by digest and length; counts and largest ids are reduced before the shuffle, and
-    small payloads have a join key of their own, so no key gathers them."""
+    Large payloads are grouped by digest and length; counts and largest ids are reduced before the shuffle.  Up to
+    ``max_broadcast`` groups (about 60 bytes each) are sent to where the rows are, so payloads are not moved; beyond that
+    rows and groups meet in a shuffle join, in which small payloads have a key of their own, so no key gathers them."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     large = pages.select("page_id", payload.alias("payload")).where(F.octet_length("payload") >= least_shared)
-    shared = large.groupBy(F.sha1("payload").alias("__digest"), F.octet_length("payload").cast("long").alias("__length")).agg(F.max("page_id").alias("__holder"), F.count("*").alias("__n")).where("__n > 1")
+    groups = large.groupBy(F.sha1("payload").alias("__digest"), F.octet_length("payload").cast("long").alias("__length")).agg(F.max("page_id").alias("__holder"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    shared = write_table(groups, "shared-payloads")
+    few = shared.limit(max_broadcast + 1).count() <= max_broadcast
     key = F.when(F.col("payload_bytes") >= least_shared, F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("/"), F.substring("payload_digest", 1, 8)))
-    joined = rows.withColumn("__key", key).join(shared.drop("__n"), (F.col("__key") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__length")), "left")
+    joined = rows.withColumn("__key", key).join(F.broadcast(shared) if few else shared, (F.col("__key") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__length")), "left")
     holder = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("__holder")), F.col("__holder"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", holder.alias("refers_to"))
 
@@ -175,6 +186,21 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
     Frames are found by the seek table and records by the index.  A response's length and digest are those of the
     payload that was read, a revisit's those of its head."""
+    return _read(bundles.select("bundle", "frame", "offset"))
+
+
+def fetch(bundles: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The records of ``numbers`` (number), as :func:`read_bundles` gives them: only frames that hold one are decompressed.
+
+    The index alone is exploded and joined; bundles without a record that is asked for are not read on."""
+    places = bundles.select(F.sha1("bundle").alias("__id"), F.explode(F.arrays_zip("number", "frame", "offset")).alias("e")).select("__id", "e.number", "e.frame", "e.offset")
+    asked = places.join(numbers.select("number").distinct(), "number", "left_semi").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("frame", "offset"))).alias("at"))
+    held = bundles.select("bundle", F.sha1("bundle").alias("__id")).join(asked, "__id")
+    return _read(held.select("bundle", F.col("at.frame").alias("frame"), F.col("at.offset").alias("offset")))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """The records at the places (frame, offset, sorted) of each bundle."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -185,23 +211,22 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                bundle = batch.column("bundle")[k].as_buffer()
-                frames, rows, at, data = seek_table(bundle.to_pybytes()), [], -1, b""
+                bundle = memoryview(batch.column("bundle")[k].as_buffer())
+                frames, rows, at, data = seek_table(bundle), [], -1, b""
                 for frame, offset in zip(batch.column("frame")[k].as_py(), batch.column("offset")[k].as_py(), strict=True):
                     if frame != at:
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows = []
                         start, packed, raw = frames[frame]
-                        at, data = frame, unpacker.decompress(bundle.slice(start, packed), max_output_size=raw)
+                        at, data = frame, unpacker.decompress(bundle[start : start + packed], max_output_size=raw)
                     r = decode(data, offset)
                     size, digest = (r.length, r.digest) if r.revisit else (len(r.payload), hashlib.sha1(r.payload).hexdigest())
                     rows.append((r.number, r.url, r.payload, size, digest, "revisit" if r.revisit else "response", r.refers_to))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return bundles.select("bundle", "frame", "offset").mapInArrow(run, schema)
+    return rows.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def index_of(bundles: DataFrame) -> DataFrame:
@@ -242,6 +267,7 @@ def archive(pages: DataFrame) -> DataFrame:
 
 
 def op1_warc_bundles(spark, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives; see :func:`archive`."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
