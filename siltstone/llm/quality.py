@@ -107,20 +107,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_bytes: int = 50_000) -> list[tuple[bytes, int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_chars: int = 16_000) -> list[tuple[bytes, int]]:
     """A bounded training sample: in expectation at most ``per_label`` texts of either label, at one rate for both
-    unless a label is rarer, drawn by a hash of doc_id, of texts of at most ``max_bytes`` bytes."""
+    unless a label is rarer, drawn by a hash of doc_id; of each text the first ``max_chars`` characters.
+
+    The ids that are drawn are sent to the documents; what comes to the driver is bounded by both numbers."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.create_map(*[F.lit(x) for q, n in counts.items() for x in (q, min(1.0, per_label / n))])
-    chosen = known.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(rate, "quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("draw").alias("draw")).orderBy("draw", "doc_id").limit(4 * per_label)
-    ids = {r["doc_id"]: r["quality"] for r in chosen.collect()}
-    texts = docs.where(F.col("doc_id").isin(list(ids)) & (F.octet_length("text") <= max_bytes)) if ids else docs.limit(0)
-    rows = texts.select("doc_id", "text").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "text").limit(4 * per_label).collect()
-    return [(r["text"].encode(), ids[r["doc_id"]]) for r in rows]
+    chosen = known.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(rate, "quality")).groupBy("doc_id").agg(F.min("quality").alias("__quality"), F.min("draw").alias("draw")).orderBy("draw", "doc_id").limit(3 * per_label)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(chosen.select("doc_id", "__quality")), "doc_id")
+    rows = texts.orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "text").limit(3 * per_label).collect()
+    return [(r["text"].encode(), r["__quality"]) for r in rows]
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
@@ -146,6 +147,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; see :func:`score`."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(sample(docs, labels))
     return score(docs.select("doc_id", "text", held_out().alias("held_out")), model, ["doc_id", "held_out"])
