@@ -366,4 +366,5 @@ def _ranked(rows: DataFrame, top: int) -> DataFrame:
 
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:
+    """The nearest neighbours of every twentieth vector; see :func:`search`."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

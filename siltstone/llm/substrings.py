@@ -11,8 +11,8 @@ owners at the same place in them, hence:
    quicksort by 8-byte characters down to a shallow depth, then the ranges that still agree (long common prefixes) are
    ordered by blind tries.  Two units share the string with l bytes before the owner if they are in one class of
    backward prefixes of l bytes and in one class of suffixes of 200 - l bytes; classes are runs of the sorted orders.
-3. A bucket with very many different units is dealt by whole strings instead, counted after a reduction in each task,
-   so that no bucket has to fit one task.
+3. A bucket with more different units than a task should hold is dealt by whole strings instead: the strings themselves
+   meet, reduced in each task before they are shuffled, so that no bucket has to fit one task.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import texts, write_table
+from .store import drop_table, texts, write_table
 
 LENGTH, GRAM = 200, 48
 CHUNK = 1 << 20
 SHALLOW = 64
-#: More different units than this in one bucket are counted string by string.
-LARGE_BUCKET = 4096
+#: More different units than this in one bucket (about 40 MB of a task) meet string by string.
+LARGE_BUCKET = 65_536
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -224,13 +225,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     found = write_table(_all_units(docs, length, gram), "units")
     # Stored, not only planned: a join of two stored sides is one whose hot buckets AQE can split.
     repeated = write_table(found.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("bucket").alias("__bucket")), "repeated")
-    found = write_table(found.join(repeated, found["bucket"] == repeated["__bucket"], "left_semi"), "repeated-units")
+    every, found = found, write_table(found.join(repeated, found["bucket"] == repeated["__bucket"], "left_semi"), "repeated-units")
+    drop_table(every), drop_table(repeated)
     sign = F.xxhash64("id", "th", "start")
     sizes = write_table(found.groupBy("bucket", "unit").agg(F.count("*").alias("n"), F.min(sign).alias("sign")), "unit-sizes")
     kinds = write_table(sizes.groupBy("bucket").agg(F.count("*").alias("kinds")), "kinds")
     state = write_table(sizes.join(kinds, "bucket").select(F.col("bucket").alias("__bucket"), F.col("unit").alias("__unit"), "n", "sign", "kinds"), "state")
     marked = found.join(state, (F.col("bucket") == F.col("__bucket")) & (F.col("unit") == F.col("__unit"))).select("bucket", "id", "th", "start", "count", "lead", (F.col("n") > 1).alias("full"), "kinds", (sign == F.col("sign")).alias("chosen"))
     marked = write_table(marked, "marked")
+    for table in (found, sizes, kinds, state):
+        drop_table(table)
     whole = marked.where("full").select("id", "th", "start", F.col("count").cast("int").alias("count"))
     # Of a unit that is there twice one copy takes part in the comparison, of all others their only one.
     asked = marked.where("kinds > 1 AND (NOT full OR chosen)")
@@ -297,21 +301,21 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _count(pieces: DataFrame, length: int) -> DataFrame:
-    """Strings of very large buckets by their digest: counts are reduced in each task before they are shuffled."""
+    """Strings of very large buckets, byte by byte: equal ones are reduced in each task before they are shuffled."""
 
-    def digests(batches: Iterator) -> Iterator:
+    def strings(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             rows = list(zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("start").to_pylist(), batch.column("full").to_pylist(), batch.column("bytes").to_pylist(), strict=True))
             for lo in range(0, len(rows), 64):
-                out = [(i, th, s + k, full, hashlib.md5(data[k : k + length]).digest()) for i, th, s, full, data in rows[lo : lo + 64] for k in range(len(data) - length + 1)]
+                out = [(i, th, s + k, full, data[k : k + length]) for i, th, s, full, data in rows[lo : lo + 64] for k in range(len(data) - length + 1)]
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["id", "th", "start", "full", "string"])
 
-    strings = pieces.select("id", "th", "start", "full", "bytes").mapInArrow(digests, "id long, th long, start long, full boolean, string binary")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return strings.where("NOT full").join(twice, "string").select("id", "th", "start", F.lit(1).alias("count"))
+    every = pieces.select("id", "th", "start", "full", "bytes").mapInArrow(strings, "id long, th long, start long, full boolean, string binary")
+    twice = every.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    return every.where("NOT full").join(twice, "string").select("id", "th", "start", F.lit(1).alias("count"))
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -331,7 +335,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
     Null texts are empty; texts under ``length`` bytes lose nothing; equal rows repeat each other and lose all that is
-    long enough; texts of any length are read in chunks; an empty table gives no rows."""
+    long enough; null ids are ids of their own text; texts of any length are read in chunks; columns beside doc_id and text
+    are left out under whatever name; an empty table gives no rows."""
     keyed = _keyed(docs)
     spans = repeated_spans(keyed, length, gram, large)
     per_doc = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
@@ -352,12 +357,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
 
-    from pyspark.sql import types as T
-
     fields = T._parse_datatype_string("kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
 
 
 def op7_repeated_substrings(spark, sf_dir: str) -> DataFrame:
+    """What every document loses; see :func:`remove_repeats`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).drop("kept")

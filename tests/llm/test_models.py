@@ -90,6 +90,30 @@ def test_quality_held_out(spark, small):
     assert np.mean([got[i].predicted == labels[i] for i in held]) >= 0.8
 
 
+def test_quality_by_brute_force(spark, small, documents):
+    """The whole way without the operator's code for packing and scoring: plain Zstandard calls and the curve."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    rows = Q.sample(documents, labels)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    usable = [r for r in documents.collect() if r.doc_id in known and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    assert sorted(rows) == sorted((r.text[:16_000].encode(), known[r.doc_id]) for r in usable)  # fewer than the bound: all of them
+    model = Q.fit(rows)
+
+    def size(text, data):
+        more = {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
+        packer = zstandard.ZstdCompressor(level=Q.LEVEL, write_content_size=False, write_dict_id=False, **more)
+        return sum(len(packer.compress(text[lo : lo + Q.BLOCK])) for lo in range(0, len(text), Q.BLOCK))
+
+    got = {r.doc_id: r for r in QUERIES["op5_quality"](spark, small).collect()}
+    for r in documents.collect():
+        text = (r.text or "").encode()
+        x = ((size(text, model.bad) - size(text, model.good)) / len(text), size(text, b"") / len(text)) if text else (0.0, 0.0)
+        want = 1 / (1 + np.exp(-(model.intercept + x[0] * model.slopes[0] + x[1] * model.slopes[1])))
+        assert got[r.doc_id].score == pytest.approx(want, abs=0.02) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
 def test_quality_on_odd_rows(spark, odd_docs, no_docs):
     model = Q.fit([(b"good words of prose " * 20 + bytes([65 + i]), 1) for i in range(20)] + [(b"### $$$ %%% &&& " * 20 + bytes([65 + i]), 0) for i in range(20)])
     rows = Q.score(odd_docs.select("doc_id", "text"), model, ["doc_id"]).collect()

@@ -124,6 +124,28 @@ def test_near_copies(spark, odd_docs, no_docs):
     assert kept.columns == docs.columns and N.keep_one(no_docs).count() == 0
 
 
+def test_no_link_of_a_dense_group_is_lost(spark):
+    """Pairs just above and below the threshold, in a group where all members share most shingles: as brute force."""
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(5000)}" for _ in range(260)]
+    rows = []
+    for k in range(260):
+        new = list(base)
+        for _ in range(rng.choice((2, 4, 5, 5, 6, 6, 7, 9))):
+            new[rng.randrange(len(new))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(new)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [set(N.shingles(t.encode()).tolist()) for _, t in rows]
+    root = components(len(rows), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == sorted(set(root)) and 1 < len(set(root)) < 260
+
+
+def test_overlaps():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 50, n, np.uint64)) for n in (1, 5, 30, 0, 60)]
+    assert N.overlaps(sets, sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
 def plain_repeats(texts, length):
     count = {}
     for t in texts:

@@ -47,6 +47,8 @@ def test_decontamination_removal(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and not {0, 1, 2, 3, 9, 10, 11} & {r.doc_id for r in kept.collect()} and kept.count() == 11
     assert D.remove(odd_docs, bench, block_bytes=1, max_blocks=1).count() == 11
     cut = {r.doc_id: r.text for r in D.remove(odd_docs, bench, mode="spans").collect()}
+    far = D.remove(odd_docs, bench, mode="spans", block_bytes=1, max_blocks=1)  # too large to broadcast
+    assert far.columns == odd_docs.columns and sorted(map(str, far.select("doc_id", "text").collect())) == sorted(map(str, D.remove(odd_docs, bench, mode="spans").select("doc_id", "text").collect()))
     assert len(cut[0].split()) == 300 - 25 and cut[9] == "" and cut[4] == next(r.text for r in odd_docs.where("doc_id = 4").collect())
     assert D.find(no_docs, bench).count() == 0 and D.find(odd_docs, bench.limit(0)).where("contaminated").count() == 0
 
