@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
-#: Letters that a token is folded by, and what they become; fixed values.
-ACCENTS, PLAIN = "éèêçàüöäñóíáú", "eeecauoanoiau"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the plain letters that they are made of."""
+    letters = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.isalpha() and c.lower() == c]
+    parts = {c: unicodedata.normalize("NFD", c) for c in letters}
+    marked = [c for c in letters if len(parts[c]) > 1 and parts[c][0] in string.ascii_lowercase]
+    return "".join(marked), "".join(parts[c][0] for c in marked)
+
+
+#: Letters that a token is folded by, and what they become.
+ACCENTS, PLAIN = _folding()
 #: A token is a run of letters and digits.
 TOKEN = r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTS, PLAIN)
+    """In lower case and without marks; a text of plain letters is not looked at letter by letter."""
+    lower = F.lower(text)
+    return F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.translate(lower, ACCENTS, PLAIN))
 
 
 def tokens(text: Column) -> Column:
@@ -31,6 +46,18 @@ def normalize_symbol(symbol: Column) -> Column:
     return F.btrim(F.lower(symbol), F.lit("()"))
 
 
+def defined_names(content: Column, pattern: str, groups: int) -> Column:
+    """array<string>: what the groups of a pattern hold, match by match."""
+    found = F.arrays_zip(*(F.regexp_extract_all(content, F.lit(pattern), F.lit(g + 1)).alias(f"g{g}") for g in range(groups)))
+    return F.filter(F.flatten(F.transform(found, lambda m: F.array(*(m[f"g{g}"] for g in range(groups))))), lambda name: name != "")
+
+
+def documented_names(content: Column, pattern: str) -> Column:
+    """array<string>: the last parts of the dotted names of directives."""
+    last = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)), lambda x: F.substring_index(F.ltrim(x, F.lit("~")), ".", -1))
+    return F.filter(last, lambda name: name != "")
+
+
 def parse_json_list(text: Column) -> Column:
     """A JSON list as an array; anything else is an empty one."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

@@ -29,8 +29,9 @@ def hashing_embedder(texts: list[str], dimensions: int = DIMENSIONS) -> list[lis
 
 
 def embed(units: DataFrame, embedder: Embedder = hashing_embedder, batch: int = BATCH) -> DataFrame:
-    """(id, embedding, framework, type, unit_seq) of each unit, texts given to the model in batches."""
-    frame = units.select("id", embedding_document(F.col("heading_hierarchy"), F.col("content")).alias("text"), "framework", "type", "unit_seq")
+    """(id, embedding, framework, type, unit_seq, source_file) of each unit, texts given to the model in batches."""
+    names = ("id", "embedding", "framework", "type", "unit_seq", "source_file")
+    frame = units.select("id", embedding_document(F.col("heading_hierarchy"), F.col("content")).alias("text"), *names[2:])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -39,6 +40,6 @@ def embed(units: DataFrame, embedder: Embedder = hashing_embedder, batch: int =
             texts, vectors = b.column("text").to_pylist(), []
             for lo in range(0, len(texts), batch):
                 vectors += embedder(texts[lo : lo + batch])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(vectors, pa.list_(pa.float32())), b.column("framework"), b.column("type"), b.column("unit_seq")], names=["id", "embedding", "framework", "type", "unit_seq"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(vectors, pa.list_(pa.float32())), *(b.column(n) for n in names[2:])], names=list(names))
 
-    return frame.mapInArrow(run, "id string, embedding array<float>, framework string, type string, unit_seq bigint")
+    return frame.mapInArrow(run, "id string, embedding array<float>, framework string, type string, unit_seq bigint, source_file string")

@@ -90,8 +90,11 @@ def gate(scores: DataFrame, sources: DataFrame | None = None, minimum: int = MIN
         out = out.join(sources.select(F.col("name").alias("framework"), "health_exclude"), "framework", "left")
     else:
         out = out.withColumn("health_exclude", F.lit(False))
-    rejected = (F.col("score") < minimum) & F.lit(minimum > 0) & ~F.coalesce("health_exclude", F.lit(False))
-    return out.select("framework", "score", (~rejected).alias("accepted"))
+    return out.select("framework", "score", (~_rejected(minimum)).alias("accepted"))
+
+
+def _rejected(minimum: int) -> Column:
+    return (F.col("score") < minimum) & F.lit(minimum > 0) & ~F.coalesce("health_exclude", F.lit(False))
 
 
 def publishable(units: DataFrame, gated: DataFrame) -> DataFrame:
@@ -120,10 +123,12 @@ def freshness(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def status(scores: DataFrame, versions: DataFrame, fresh: DataFrame, sources: DataFrame | None = None, minimum: int = MIN_SCORE) -> DataFrame:
-    """One row a framework: units, score, grade, version, state, and whether it is below the gate."""
+    """One row a framework: units, score, grade, version, state, and whether it is below the gate.
+
+    The gate's answer is a column of the scores themselves, which are computed once."""
     out = scores.select("framework", "total_units", "score", "grade").join(versions.select("framework", "version_key", "doc_system"), "framework", "left").join(fresh.select("framework", "state"), "framework", "left")
-    gated = gate(scores, sources, minimum).select("framework", (~F.col("accepted")).alias("below_minimum"))
-    return out.join(gated, "framework").withColumn("state", F.coalesce("state", F.lit("unknown")))
+    out = out.join(sources.select(F.col("name").alias("framework"), "health_exclude"), "framework", "left") if sources is not None else out.withColumn("health_exclude", F.lit(False))
+    return out.withColumns({"below_minimum": _rejected(minimum), "state": F.coalesce("state", F.lit("unknown"))}).drop("health_exclude")
 
 
 def summary(report: DataFrame) -> DataFrame:

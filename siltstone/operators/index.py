@@ -1,20 +1,23 @@
 """A full-text index as tables, and phrase search by BM25.
 
-The index has a posting for each token (term, unit_id, field, pos), the length of each unit, and the corpus's size.
-It is built once and stored sorted by term, so a search reads the row groups of its own terms only.
+The index has a posting for each token (term, unit_id, field, pos), the length of each unit, and what filters and ties
+look at.  It is built once and stored sorted by term, so a search reads the row groups of its own terms only.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import tokens
-from siltstone.scratch import write_table
+from siltstone.scratch import shared_dir, write_table
+
+from .ranking import PLACE, place
 
 #: The weights of BM25, and the least weight of a phrase.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -23,38 +26,51 @@ FIELDS = ("content", "module_path", "related_symbols", "heading_hierarchy")
 
 @dataclass
 class Index:
-    """``units``: what filters and ties look at (id, framework, type, unit_seq).
+    """``units``: what filters and ties look at (id, framework, type, relevance_decay, and where it stands).
 
-    ``source`` is set while the index is not stored: a single search then reads the texts once, instead of making
-    postings of all of them for the sake of one phrase."""
+    ``source`` (id, tokens by field) is set while the index is not stored: a single search then reads the texts once,
+    instead of making postings of all of them for the sake of one phrase."""
 
     postings: DataFrame
     lengths: DataFrame
     units: DataFrame
     source: DataFrame | None = None
 
+    def tables(self) -> dict[str, DataFrame]:
+        """What is to be stored: postings are ranged by term, so a term's rows lie together; texts are read once."""
+        made = self if self.source is None else _made(write_table(self.source, "tokens"), self.units)
+        postings = made.postings.repartitionByRange("term", "unit_id").sortWithinPartitions("term", "unit_id", "field", "pos")
+        return {"postings": postings, "lengths": made.lengths, "entries": made.units}
+
     def save(self, path: str) -> Index:
-        """Writes the tables below ``path``; postings are ranged by term, so a term's rows lie together."""
-        self.postings.repartitionByRange("term", "unit_id").sortWithinPartitions("term", "unit_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.units.write.mode("overwrite").parquet(f"{path}/units")
+        """Writes the tables below ``path``, where nothing may be yet."""
+        for name, df in self.tables().items():
+            df.write.parquet(f"{path}/{name}")
         return load(self.postings.sparkSession, path)
 
+    def stored(self) -> Index:
+        """The index itself if it is stored, else a stored copy in the shared folder."""
+        return self if self.source is None else self.save(f"{shared_dir(self.postings.sparkSession)}/index-{uuid.uuid4().hex}")
+
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "units")))
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "entries")))
+
+
+def _made(read: DataFrame, units: DataFrame) -> Index:
+    present = [c for c in read.columns if c != "id"]
+    fields = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).alias("tokens")) for k, c in enumerate(present))))
+    postings = read.select(F.col("id").alias("unit_id"), fields.alias("f")).select("unit_id", "f.field", F.posexplode("f.tokens").alias("pos", "term")).select("term", "unit_id", "field", "pos")
+    lengths = read.select(F.col("id").alias("unit_id"), sum((F.size(c) for c in present), F.lit(0)).cast("long").alias("len"))
+    return Index(postings, lengths, units, read)
 
 
 def build(units: DataFrame) -> Index:
     """The index of ``units``; list fields are read as words in a row."""
     kinds = dict(units.dtypes)
     field = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c)
-    present = [c for c in FIELDS if c in kinds]
-    read = units.select("id", *(tokens(field(c)).alias(c) for c in present))
-    fields = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).alias("tokens")) for k, c in enumerate(present))))
-    postings = read.select(F.col("id").alias("unit_id"), fields.alias("f")).select("unit_id", "f.field", F.posexplode("f.tokens").alias("pos", "term")).select("term", "unit_id", "field", "pos")
-    lengths = read.select(F.col("id").alias("unit_id"), sum((F.size(c) for c in present), F.lit(0)).cast("long").alias("len"))
-    return Index(postings, lengths, units.select("id", "framework", "type", "unit_seq", "relevance_decay"), read)
+    read = units.select("id", *(tokens(field(c)).alias(c) for c in FIELDS if c in kinds))
+    return _made(read, units.select("id", "framework", "type", "relevance_decay", *(c for c in PLACE if c in kinds and c != "id")))
 
 
 def phrase_hits(index: Index, words: list[str]) -> DataFrame:
@@ -82,7 +98,7 @@ def _counted(index: Index, words: list[str]) -> DataFrame:
 
 
 def keyword_search(index: Index, query: str, top_k: int = 20, framework: str | None = None, unit_type: str | None = None) -> DataFrame:
-    """(id, score, rank): units with the query as a phrase, best first, ties by unit_seq.
+    """(id, score, rank): units with the query as a phrase, best first, ties by file, place in it and id.
 
     Sizes and frequencies are those of the whole index; filters come after them.  A query without a token finds nothing."""
     spark = index.units.sparkSession
@@ -94,27 +110,36 @@ def keyword_search(index: Index, query: str, top_k: int = 20, framework: str | N
     idf = max(LEAST_IDF, math.log((corpus["n"] - corpus["found"] + 0.5) / (corpus["found"] + 0.5)))
     tf = F.col("tf").cast("double")
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(float(corpus["avg"] or 1.0))))
-    scored = counted.where("tf > 0").join(index.units, F.col("unit_id") == F.col("id")).select("id", "framework", "type", "unit_seq", (weight * idf).alias("score"))
+    scored = counted.where("tf > 0").join(index.units, F.col("unit_id") == F.col("id")).select("framework", "type", *place(index.units), (weight * idf).alias("score"))
     return ranked(_filtered(scored, framework, unit_type), top_k, F.desc("score"))
 
 
 def keyword_batch(index: Index, queries: DataFrame, top_k: int = 5) -> DataFrame:
     """(qid, id, score, rank) of many phrase queries (qid, words array<string>) at once.
 
-    Postings meet the query words in one join; per query only its ``top_k`` best rows are ranked."""
+    Only postings of words that are asked for are read on.  A phrase is looked for where its rarest word stands, and only
+    those places are compared with its other words, so frequent words meet few candidates; per query only its ``top_k``
+    best rows are ranked."""
     from pyspark.sql import Window
 
-    asked = queries.where(F.size("words") > 0).select("qid", F.size("words").alias("m"), F.posexplode("words").alias("q", "term"))
-    starts = index.postings.join(asked, "term").select("qid", "m", "unit_id", "field", (F.col("pos") - F.col("q")).alias("start"), "q")
-    whole = starts.groupBy("qid", "m", "unit_id", "field", "start").agg(F.count_distinct("q").alias("n")).where("n = m")
-    hits = whole.groupBy("qid", "unit_id").agg(F.count("*").cast("double").alias("tf"))
+    stored = index.stored()
+    asked = write_table(queries.where(F.size("words") > 0).select("qid", "words"), "queries")
+    words = asked.select("qid", F.size("words").alias("m"), F.posexplode("words").alias("q", "term"))
+    mine = write_table(stored.postings.join(words.select("term").distinct(), "term", "left_semi"), "asked-postings")
+    often = mine.groupBy("term").agg(F.count("*").alias("often"))
+    anchor = words.join(often, "term", "left").groupBy("qid", "m").agg(F.min_by(F.struct("q", "term"), F.struct(F.coalesce("often", F.lit(0)), "q")).alias("a")).select("qid", "m", F.col("a.q").alias("at"), F.col("a.term").alias("term"))
+    starts = mine.join(anchor, "term").select("qid", "m", "unit_id", "field", (F.col("pos") - F.col("at")).alias("start"))
+    wanted = starts.join(words.select("qid", "q", "term"), "qid").withColumn("pos", F.col("start") + F.col("q"))
+    there = wanted.join(mine.select("term", "unit_id", "field", "pos"), ["term", "unit_id", "field", "pos"], "left_semi")
+    whole = there.groupBy("qid", "m", "unit_id", "field", "start").agg(F.count("*").alias("n")).where("n = m")
+    hits = write_table(whole.groupBy("qid", "unit_id").agg(F.count("*").cast("double").alias("tf")), "hits")
     found = hits.groupBy("qid").agg(F.count("*").alias("df"))
-    corpus = index.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    corpus = stored.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(corpus["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(corpus["avg"] or 1.0))))
-    scored = hits.join(found, "qid").join(index.lengths, "unit_id").join(index.units.select("id", "unit_seq"), F.col("unit_id") == F.col("id")).select("qid", "id", "unit_seq", (weight * idf).alias("score"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit_seq"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= top_k).select("qid", "id", "score", "rank")
+    scored = hits.join(found, "qid").join(stored.lengths, "unit_id").join(stored.units, F.col("unit_id") == F.col("id")).select("qid", *place(stored.units), (weight * idf).alias("score"))
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), *place(scored)))
+    return scored.withColumn("rank", best).where(F.col("rank") <= top_k).select("qid", "id", "score", "rank")
 
 
 def _filtered(df: DataFrame, framework: str | None, unit_type: str | None) -> DataFrame:
@@ -123,8 +148,8 @@ def _filtered(df: DataFrame, framework: str | None, unit_type: str | None) -> Da
 
 
 def ranked(df: DataFrame, top_k: int, order) -> DataFrame:
-    """The first ``top_k`` rows with their rank; only those reach the window."""
+    """The first ``top_k`` rows with their rank, equal ones by where they stand; only those reach the window."""
     from pyspark.sql import Window
 
-    best = df.orderBy(order, "unit_seq").limit(top_k)
-    return best.select("id", "score", F.row_number().over(Window.orderBy(order, "unit_seq")).alias("rank"))
+    best = df.orderBy(order, *place(df)).limit(top_k)
+    return best.select("id", "score", F.row_number().over(Window.orderBy(order, *place(df))).alias("rank"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions.columns import cosine_distance, description, normalize_symbol
 from siltstone.schema import UNIT_TYPES
 
+from siltstone.scratch import write_table
+
 from .index import Index, _filtered, keyword_search, ranked
+from .ranking import numbered, place
 
 #: Fixed value of reciprocal rank fusion.
 RRF = 60
@@ -21,9 +24,10 @@ def check_top_k(top_k: int, most: int = 100) -> int:
 
 
 def semantic_search(vectors: DataFrame, query: list[float], top_k: int = 20, framework: str | None = None, unit_type: str | None = None) -> DataFrame:
-    """(id, distance, rank) of the nearest by cosine, exactly; filters come first.  ``vectors``: id, embedding, framework, type, unit_seq."""
+    """(id, distance, rank) of the nearest by cosine, exactly; filters come first.  ``vectors``: id, embedding, framework, type, and
+    where the unit stands."""
     wanted = F.array(*(F.lit(float(x)) for x in query))
-    near = _filtered(vectors, framework, unit_type).select("id", "unit_seq", cosine_distance(F.col("embedding"), wanted).alias("score")).where(F.col("score").isNotNull())
+    near = _filtered(vectors, framework, unit_type).select(*place(vectors), cosine_distance(F.col("embedding"), wanted).alias("score")).where(F.col("score").isNotNull())
     return ranked(near, top_k, F.asc("score")).select("id", F.col("score").alias("distance"), "rank")
 
 
@@ -57,43 +61,55 @@ def bundle(index: Index, vectors: DataFrame, query: str, vector: list[float], to
     return wide.where(F.col("type").isin(*UNIT_TYPES)).withColumn("bucket_rank", place).where(F.col("bucket_rank") <= top_k).select("id", "type", "score", "bucket_rank")
 
 
+def _matching(symbols: DataFrame, symbol: str, framework: str | None) -> DataFrame:
+    """(unit_id, is_def, key): units that have the symbol; by ``key`` those that define it come first, then by place."""
+    hits = symbols.where(F.col("symbol") == normalize_symbol(F.lit(symbol)))
+    hits = hits.where(F.col("framework") == framework) if framework else hits
+    file = [F.min("source_file").alias("source_file")] if "source_file" in symbols.columns else []
+    found = hits.groupBy("unit_id").agg(F.max("is_definition").alias("is_def"), F.min("sym_seq").alias("first"), *file)
+    return found.select("unit_id", "is_def", F.struct((-F.col("is_def")).alias("other"), *(["source_file"] if file else []), "first", "unit_id").alias("key"))
+
+
 def lookup_ids(symbols: DataFrame, symbol: str, framework: str | None = None) -> DataFrame:
     """(unit_id, is_def, ord): units that have the symbol, those that define it first."""
-    name = normalize_symbol(F.lit(symbol))
-    hits = symbols.where(F.col("symbol") == name)
-    hits = hits.where(F.col("framework") == framework) if framework else hits
-    found = hits.groupBy("unit_id").agg(F.max("is_definition").alias("is_def"), F.min("sym_seq").alias("first"))
-    return found.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("is_def"), "first", "unit_id"))).select("unit_id", "is_def", "ord")
+    found = _matching(symbols, symbol, framework).withColumn("section", F.lit("match"))
+    return numbered(found, "section", "key").select("unit_id", "is_def", "ord")
 
 
-def related(units: DataFrame, symbols: DataFrame, ids: DataFrame, framework: str | None = None) -> DataFrame:
-    """(of, id, type, unit_seq): units that share a symbol with one of ``ids`` (unit_id), but itself.
+def near(symbols: DataFrame, matching: DataFrame, framework: str | None = None) -> DataFrame:
+    """(unit_id, of): units that share a symbol with one of ``matching`` (unit_id, key) but itself, and the first such one.
 
-    The symbols of a few units are the small side; a symbol that very many units have only meets those few."""
-    own = symbols.join(ids.select("unit_id"), "unit_id", "left_semi").select("symbol", F.col("unit_id").alias("of")).distinct()
+    A symbol is reduced to the first two of the matching units that have it; the second one serves the first, which is not
+    its own neighbour.  So each row of ``symbols`` meets one row, however many units share a symbol."""
+    own = symbols.select("symbol", "unit_id").join(matching.select("unit_id", "key"), "unit_id").select("symbol", "key")
+    first = write_table(own.groupBy("symbol").agg(F.min("key").alias("one")), "symbols")
+    second = own.join(first, "symbol").where("key <> one").groupBy("symbol").agg(F.min("key").alias("two"))
+    two = first.join(second, "symbol", "left")
     pool = symbols.where(F.col("framework") == framework) if framework else symbols
-    shared = pool.join(own, "symbol").where(F.col("unit_id") != F.col("of")).select("of", "unit_id").distinct()
-    return shared.join(units.select("id", "type", "unit_seq"), F.col("unit_id") == F.col("id")).select("of", "id", "type", "unit_seq")
+    of = F.when(F.col("one.unit_id") != F.col("unit_id"), F.col("one")).otherwise(F.col("two"))
+    return pool.select("symbol", "unit_id").join(two, "symbol").select("unit_id", of.alias("of")).where("of IS NOT NULL").groupBy("unit_id").agg(F.min("of").alias("of"))
 
 
 def lookup(units: DataFrame, symbols: DataFrame, symbol: str, framework: str | None = None, include_related: bool = True, include_examples: bool = True) -> DataFrame:
     """(section, ord, id): the match, what is related to it, and examples of all units that have the symbol.  No match, no rows."""
-    ids = lookup_ids(symbols, symbol, framework)
-    out = ids.where("ord = 1").select(F.lit("match").alias("section"), F.lit(1).alias("ord"), F.col("unit_id").alias("id"))
-    near = related(units, symbols, ids, framework).join(ids.select(F.col("unit_id").alias("of"), F.col("ord").alias("of_ord")), "of")
-    if include_related:
-        own = near.where("of_ord = 1 AND type <> 'example'")
-        out = out.unionByName(own.select(F.lit("related").alias("section"), F.row_number().over(Window.orderBy("unit_seq", "id")).alias("ord"), "id"))
-    if include_examples:
-        first = near.where("type = 'example'").groupBy("id").agg(F.min(F.struct("of_ord", "unit_seq")).alias("at"))
-        out = out.unionByName(first.select(F.lit("example").alias("section"), F.row_number().over(Window.orderBy("at", "id")).alias("ord"), "id"))
-    return out
+    matching = write_table(_matching(symbols, symbol, framework), "matching")
+    best = matching.agg(F.min("key").alias("key"))
+    out = best.select(F.lit("match").alias("section"), F.lit(1).alias("ord"), F.col("key.unit_id").alias("id")).where("id IS NOT NULL")
+    if not include_related and not include_examples:
+        return out
+    kinds = units.select("type", *place(units))
+    beside = near(symbols, matching, framework).join(kinds, F.col("unit_id") == F.col("id")).crossJoin(best.withColumnRenamed("key", "best"))  # one row
+    example = F.col("type") == "example"
+    section = F.when(example & F.lit(include_examples), "example").when(~example & (F.col("of") == F.col("best")) & F.lit(include_related), "related")
+    rows = beside.withColumn("section", section).where("section IS NOT NULL")
+    # Related units all belong to the match, so they are ordered by their place alone.
+    return out.unionByName(numbered(rows, "section", "of", *place(units)).select("section", "ord", "id"))
 
 
 def browse_modules(units: DataFrame, symbols: DataFrame, framework: str, most: int = 20) -> DataFrame:
     """(module_path, n_units, description, symbols): each module with its first line and its first symbols by name."""
     own = units.where(F.col("framework") == framework)
-    heads = own.groupBy("module_path").agg(F.count("*").alias("n_units"), F.min_by("content", F.struct("unit_seq", "id")).alias("content"))
+    heads = own.groupBy("module_path").agg(F.count("*").alias("n_units"), F.min_by("content", F.struct(*place(own))).alias("content"))
     names = symbols.join(own.select(F.col("id").alias("unit_id"), "module_path"), "unit_id").select("module_path", "symbol").distinct()
     listed = names.withColumn("n", F.row_number().over(Window.partitionBy("module_path").orderBy("symbol"))).where(F.col("n") <= most).groupBy("module_path").agg(F.array_sort(F.collect_list("symbol")).alias("symbols"))
     return heads.join(listed, "module_path", "left").select("module_path", "n_units", description(F.col("content")).alias("description"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
@@ -104,10 +120,10 @@ def browse_units(units: DataFrame, framework: str, module: str) -> DataFrame:
     return units.where((F.col("framework") == framework) & F.col("module_path").ilike(f"%{module}%"))
 
 
-def smart(index: Index, units: DataFrame, symbols: DataFrame, vectors: DataFrame, query: str, vector: list[float], top_k: int = 5) -> DataFrame:
+def smart(index: Index, units: DataFrame, symbols: DataFrame, vectors: DataFrame, query: str, vector: list[float], top_k: int = 5, framework: str | None = None) -> DataFrame:
     """(section, ord, id): one word is looked up as a symbol, and searched for if there is none; more words are searched for."""
-    found = lookup(units, symbols, query) if len(query.split()) == 1 else None
+    found = lookup(units, symbols, query, framework) if len(query.split()) == 1 else None
     if found is not None and not found.isEmpty():
         return found
-    hits = bundle(index, vectors, query, vector, top_k)
+    hits = bundle(index, vectors, query, vector, top_k, framework)
     return hits.select(F.col("type").alias("section"), F.col("bucket_rank").alias("ord"), "id")

@@ -106,10 +106,13 @@ def by_label(units: DataFrame) -> DataFrame:
 
 
 def symbols(units: DataFrame) -> DataFrame:
-    """(symbol, unit_id, framework, is_definition, sym_seq): normalised names of units, with whether they are defined there."""
-    listed = units.select("id", "framework", "definition_symbols", "unit_seq", F.posexplode("related_symbols").alias("pos", "raw"))
+    """(symbol, unit_id, framework, is_definition, sym_seq): normalised names of units, with whether they are defined there.
+
+    sym_seq orders the names of one file; source_file follows where the units have it."""
+    file = [c for c in ("source_file",) if c in units.columns]
+    listed = units.select("id", "framework", "definition_symbols", "unit_seq", *file, F.posexplode("related_symbols").alias("pos", "raw"))
     name = F.btrim(F.lower("raw"), F.lit("()"))
-    return listed.select(name.alias("symbol"), F.col("id").alias("unit_id"), "framework", F.array_contains("definition_symbols", name).cast("int").alias("is_definition"), (F.col("unit_seq") * 100_000 + F.col("pos")).alias("sym_seq"))
+    return listed.select(name.alias("symbol"), F.col("id").alias("unit_id"), "framework", F.array_contains("definition_symbols", name).cast("int").alias("is_definition"), (F.col("unit_seq") * 100_000 + F.col("pos")).alias("sym_seq"), *file)
 
 
 def sections_by_window(docs: DataFrame, split_level: int = P.SPLIT_LEVEL) -> DataFrame:

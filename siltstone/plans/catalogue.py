@@ -17,6 +17,7 @@ from siltstone.operators import index as IX
 from siltstone.operators import search as SE
 from siltstone.operators import store as ST
 from siltstone.operators import units as U
+from siltstone.scratch import write_table
 from siltstone.sources import config, github, llms_txt, local, website
 
 from .inputs import DEFINITIONS, MARKDOWN_SQL, SECTIONS_SQL, UNITS_SQL, markdown, table, tokens_sql, units
@@ -57,9 +58,9 @@ def _bm25_sql(words: list[str], where: str = "TRUE", top: int = 20) -> str:
 ), corpus AS (
   SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (WHERE tf > 0) AS df FROM tf
 ), kw AS (
-  SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
-    SELECT t.id, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS score FROM tf t JOIN u USING (id), corpus WHERE tf > 0 AND {where}
-  ) QUALIFY row_number() OVER (ORDER BY score DESC, id) <= {top}
+  SELECT id, score, row_number() OVER (ORDER BY score DESC, source_file, id) AS rank FROM (
+    SELECT t.id, source_file, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS score FROM tf t JOIN u USING (id), corpus WHERE tf > 0 AND {where}
+  ) QUALIFY row_number() OVER (ORDER BY score DESC, source_file, id) <= {top}
 )"""
 
 
@@ -82,24 +83,33 @@ def keyword_by_type(spark, sf_dir):
     return _round(IX.keyword_search(_index(spark, sf_dir), PHRASE, 10, unit_type="api"), "score")
 
 
-@query(f"""WITH {UNITS_SQL}, tok AS (
-  SELECT id, {tokens_sql("content")} AS a, {tokens_sql("module_path")} AS b, {tokens_sql("lg || ' ' || part")} AS c FROM u
-), q AS (SELECT item_id, {tokens_sql("coalesce(text, '')")}[1:2] AS w FROM benchmark), fields AS (SELECT id, unnest([a, b, c]) AS t FROM tok), pairs AS (
-  SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i : i + 1])) AS w FROM fields
-), tf AS (SELECT item_id, id, count(*) AS tf FROM q JOIN pairs USING (w) WHERE len(w) = 2 GROUP BY ALL), df AS (SELECT item_id, count(*) AS df FROM tf GROUP BY ALL), dl AS (
-  SELECT id, len(a) + len(b) + len(c) AS dl FROM tok
-), corpus AS (SELECT count(*) AS n, avg(dl) AS av FROM dl), scored AS (
-  SELECT item_id, id, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS score FROM tf JOIN df USING (item_id) JOIN dl USING (id), corpus
+@query(f"WITH {_bm25_sql(WORDS)} SELECT id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kw")
+def keyword_saved_index(spark, sf_dir):
+    """As keyword_phrase_bm25, from postings that are stored first."""
+    return _round(IX.keyword_search(_index(spark, sf_dir).stored(), PHRASE), "score")
+
+
+_BATCH_SQL = f"""tok AS (
+  SELECT id, source_file, {tokens_sql("content")} AS a, {tokens_sql("module_path")} AS b, {tokens_sql("lg || ' ' || part")} AS c FROM u
+), dl AS (SELECT id, source_file, len(a) + len(b) + len(c) AS dl FROM tok), fields AS (SELECT id, unnest([' ' || array_to_string(a, ' ') || ' ', ' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(c, ' ') || ' ']) AS t FROM tok
+), tf AS (
+  SELECT qid, id, sum(CASE WHEN contains(t, p) THEN len(string_split(replace(t, ' ', '  '), replace(p, ' ', '  '))) - 1 ELSE 0 END) AS tf FROM q, fields WHERE contains(t, p) GROUP BY ALL
+), df AS (SELECT qid, count(*) AS df FROM tf GROUP BY ALL), corpus AS (SELECT count(*) AS n, avg(dl) AS av FROM dl), scored AS (
+  SELECT qid, id, source_file, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) AS score FROM tf JOIN df USING (qid) JOIN dl USING (id), corpus
 )
-SELECT item_id AS qid, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) <= 5""")
+SELECT qid, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_file, id) AS INT) AS rank FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_file, id) <= 5"""
+
+
+@query(f"WITH {UNITS_SQL}, q AS (SELECT item_id AS qid, ' ' || array_to_string({tokens_sql("coalesce(text, '')")}, ' ') || ' ' AS p FROM benchmark WHERE len({tokens_sql("coalesce(text, '')")}) > 0), {_BATCH_SQL}")
 def keyword_batch_benchmark(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(C.tokens(F.col("text")), 1, 2).alias("words")).where(F.size("words") == 2)
+    """Every benchmark item as one phrase, all of its words."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), C.tokens(F.col("text")).alias("words"))
     return _round(IX.keyword_batch(_index(spark, sf_dir), asked), "score")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as the vectors of the documents with their number."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(units(spark, sf_dir).select("id", "framework", "type", "unit_seq"), "id")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(units(spark, sf_dir).select("id", "framework", "type", "unit_seq", "source_file"), "id")
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -108,9 +118,9 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def _semantic_sql(where: str = "TRUE", top: int = 20) -> str:
     return f"""vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q0 AS (SELECT e AS q FROM vec WHERE id = 0), sem AS (
-  SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM (
-    SELECT v.id, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS distance FROM vec v JOIN u USING (id), q0 WHERE {where}
-  ) QUALIFY row_number() OVER (ORDER BY distance, id) <= {top}
+  SELECT id, distance, row_number() OVER (ORDER BY distance, source_file, id) AS rank FROM (
+    SELECT v.id, source_file, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS distance FROM vec v JOIN u USING (id), q0 WHERE {where}
+  ) QUALIFY row_number() OVER (ORDER BY distance, source_file, id) <= {top}
 )"""
 
 
@@ -157,37 +167,31 @@ SYMBOL = "the"
 
 def _symbol_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's Markdown as one unit, with the names it has."""
-    md = markdown(spark, sf_dir).select("doc_id", "content")
-
-    @F.pandas_udf("struct<related_symbols:array<string>,definition_symbols:array<string>>")
-    def names(content):
-        import pandas as pd
-
-        defs = [D.definitions_of(c, "") for c in content]
-        found = [D.symbols_of(c, "python") for c in content]
-        related = [f + [d for d in ds if d not in {D.normal(x) for x in f}] for f, ds in zip(found, defs, strict=True)]
-        return pd.DataFrame({"related_symbols": related, "definition_symbols": defs})
-
-    return units(spark, sf_dir).drop("content").join(md.select(F.col("doc_id").alias("id"), "content", names("content").alias("n")), "id").select("*", "n.*").drop("n")
+    md = markdown(spark, sf_dir).select(F.col("doc_id").alias("id"), "content")
+    documented = C.documented_names(F.col("content"), P.AUTODOC)
+    defined = F.array_sort(F.array_distinct(F.transform(F.concat(documented, C.documented_names(F.col("content"), P.MKDOCSTRINGS)), C.normalize_symbol)))
+    named = F.transform(F.concat(C.defined_names(F.col("content"), P.PYTHON, 3), documented), C.normalize_symbol)
+    found = md.select("id", "content", defined.alias("definition_symbols"), F.array_union(named, defined).alias("related_symbols"))
+    return units(spark, sf_dir).drop("content").join(found, "id")
 
 
 SYMBOLS_SQL = f"""{MARKDOWN_SQL}, {UNITS_SQL}, named AS (
   SELECT doc_id, lower(w) AS symbol, min(k * 1000000 + i) AS first, bool_or(k = 4) AS def FROM lines WHERE k IN (3, 4) GROUP BY doc_id, lower(w)
 ), s AS (
-  SELECT symbol, doc_id AS unit_id, u.framework, CAST(def AS INT) AS is_definition, CAST(doc_id * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS BIGINT) AS sym_seq, u.type, u.module_path FROM named JOIN u ON u.id = doc_id
+  SELECT symbol, doc_id AS unit_id, u.framework, CAST(def AS INT) AS is_definition, CAST(doc_id * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS BIGINT) AS sym_seq, u.type, u.module_path, u.source_file FROM named JOIN u ON u.id = doc_id
 )"""
 
 
 @query(f"WITH {SYMBOLS_SQL} SELECT symbol, unit_id, framework, is_definition, sym_seq FROM s")
 def symbol_index_build(spark, sf_dir):
-    return U.symbols(_symbol_units(spark, sf_dir))
+    return U.symbols(_symbol_units(spark, sf_dir)).drop("source_file")
 
 
 _IDS_SQL = f"""{SYMBOLS_SQL}, ids AS (
-  SELECT unit_id, max(is_definition) AS is_def, row_number() OVER (ORDER BY max(is_definition) DESC, min(sym_seq), unit_id) AS ord FROM s WHERE symbol = '{SYMBOL}' GROUP BY unit_id
+  SELECT unit_id, max(is_definition) AS is_def, row_number() OVER (ORDER BY max(is_definition) DESC, min(source_file), min(sym_seq), unit_id) AS ord FROM s WHERE symbol = '{SYMBOL}' GROUP BY unit_id
 )"""
 _NEAR_SQL = f"""{_IDS_SQL}, near AS (
-  SELECT DISTINCT i.ord AS of_ord, b.unit_id AS id, b.type FROM ids i JOIN s a ON a.unit_id = i.unit_id JOIN s b ON b.symbol = a.symbol AND b.unit_id <> a.unit_id
+  SELECT DISTINCT i.ord AS of_ord, b.unit_id AS id, b.type, b.source_file FROM ids i JOIN s a ON a.unit_id = i.unit_id JOIN s b ON b.symbol = a.symbol AND b.unit_id <> a.unit_id
 )"""
 
 
@@ -197,14 +201,14 @@ def symbol_lookup_definition_first(spark, sf_dir):
 
 
 def _looked_up(spark: SparkSession, sf_dir: str, **what) -> DataFrame:
-    rows = _symbol_units(spark, sf_dir).persist()
+    rows = write_table(_symbol_units(spark, sf_dir).select("id", "framework", "type", "unit_seq", "source_file", "related_symbols", "definition_symbols"), "symbol-units")
     return SE.lookup(rows, U.symbols(rows), SYMBOL, **what)
 
 
 _LOOKUP_SQL = f"""{_NEAR_SQL}, found AS (
   SELECT 'match' AS section, 1 AS ord, unit_id AS id FROM ids WHERE ord = 1
-  UNION ALL SELECT 'related', row_number() OVER (ORDER BY id), id FROM near WHERE of_ord = 1 AND type <> 'example'
-  UNION ALL SELECT 'example', row_number() OVER (ORDER BY m, id), id FROM (SELECT id, min(of_ord) AS m FROM near WHERE type = 'example' GROUP BY id)
+  UNION ALL SELECT 'related', row_number() OVER (ORDER BY source_file, id), id FROM near WHERE of_ord = 1 AND type <> 'example'
+  UNION ALL SELECT 'example', row_number() OVER (ORDER BY m, source_file, id), id FROM (SELECT id, source_file, min(of_ord) AS m FROM near WHERE type = 'example' GROUP BY id, source_file)
 )"""
 
 
@@ -231,7 +235,7 @@ def smart_query_words(spark, sf_dir):
 
 @query(f"WITH {_LOOKUP_SQL} SELECT section, CAST(ord AS INT) AS ord, id FROM found")
 def smart_query_symbol(spark, sf_dir):
-    rows = _symbol_units(spark, sf_dir).persist()
+    rows = write_table(_symbol_units(spark, sf_dir), "symbol-units")
     return SE.smart(_index(spark, sf_dir), rows, U.symbols(rows), _vectors(spark, sf_dir), SYMBOL.upper() + "()", _query_vector(spark, sf_dir))
 
 
@@ -248,9 +252,9 @@ def _coarse(df: DataFrame) -> DataFrame:
 @query(f"""WITH {SYMBOLS_SQL}, own AS (SELECT u.*, {_COARSE} AS module, md.content AS body FROM u JOIN md ON md.doc_id = u.id WHERE u.framework = 'src3'), names AS (
   SELECT module, symbol, row_number() OVER (PARTITION BY module ORDER BY symbol) AS n FROM (SELECT DISTINCT module, symbol FROM own JOIN s ON s.unit_id = own.id)
 ), listed AS (SELECT module, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM names WHERE n <= 20 GROUP BY module)
-SELECT module AS module_path, count(*) AS n_units, left(string_split(arg_min(body, id), chr(10))[1], 120) AS description, coalesce(any_value(symbols), '') AS symbols FROM own LEFT JOIN listed USING (module) GROUP BY module""")
+SELECT module AS module_path, count(*) AS n_units, left(string_split(arg_min(body, source_file), chr(10))[1], 120) AS description, coalesce(any_value(symbols), '') AS symbols FROM own LEFT JOIN listed USING (module) GROUP BY module""")
 def browse_modules(spark, sf_dir):
-    rows = _coarse(_symbol_units(spark, sf_dir)).persist()
+    rows = write_table(_coarse(_symbol_units(spark, sf_dir)), "symbol-units")
     return SE.browse_modules(rows, U.symbols(rows), "src3").withColumn("symbols", F.array_join("symbols", ","))
 
 
@@ -415,12 +419,12 @@ def dedup_first_wins(spark, sf_dir):
     return U.first_by_id(rows, "doc_id")
 
 
-@query(f"""WITH {UNITS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS state, count(*) OVER () AS n FROM u WHERE id % 2 = 0 OR id % 3 = 0""")
+@query(f"""WITH {UNITS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS state, count(*) OVER () AS n FROM u""")
 def upsert_units(spark, sf_dir):
-    rows = units(spark, sf_dir).select("id", "unit_seq")
-    old, new = rows.where("id % 2 = 0").withColumn("state", F.lit("old")), rows.where("id % 3 = 0").withColumn("state", F.lit("new"))
-    merged = ST.upsert(old, new).select("id", "state")
-    return merged.withColumn("n", F.lit(merged.count()).cast("long"))
+    """All units are there; a third of them comes anew."""
+    old = units(spark, sf_dir).select("id", "unit_seq").withColumn("state", F.lit("old"))
+    merged = ST.upsert(old, old.where("id % 3 = 0").withColumn("state", F.lit("new"))).select("id", "state")
+    return merged.crossJoin(merged.agg(F.count("*").alias("n")))  # one row
 
 
 @query(f"WITH {UNITS_SQL} SELECT framework, count(*) AS n FROM u WHERE framework <> 'src3' GROUP BY framework")
@@ -557,7 +561,12 @@ def module_paths_and_decay(spark, sf_dir):
     return units(spark, sf_dir).select("id", "relevance_decay", "module_path")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MARKDOWN_SQL}, ends AS (
+  SELECT doc_id, sum(length(b) + 2) OVER (PARTITION BY doc_id ORDER BY i) AS e, i = max(i) OVER (PARTITION BY doc_id) AS last FROM blocks
+), stops AS (SELECT doc_id, e FROM ends WHERE NOT last), whole AS (SELECT doc_id, length(content) AS n FROM md), cut AS (
+  SELECT w.doc_id, 0 AS part, CAST(0 AS HUGEINT) AS b, min(s.e) AS e FROM whole w LEFT JOIN stops s ON s.doc_id = w.doc_id AND s.e > {P.MAX_UNIT_CHARS} GROUP BY w.doc_id
+  UNION ALL SELECT c.doc_id, c.part + 1, c.e, min(s.e) FROM cut c LEFT JOIN stops s ON s.doc_id = c.doc_id AND s.e > c.e + {P.MAX_UNIT_CHARS} WHERE c.e IS NOT NULL GROUP BY c.doc_id, c.part, c.e
+) SELECT doc_id, part, CAST(CASE WHEN e IS NULL THEN n - b ELSE e - b - 1 END AS INT) AS size FROM cut JOIN whole USING (doc_id)""")
 def split_oversized(spark, sf_dir):
     """Each document's Markdown as one unit, split where it is too long."""
 
@@ -717,12 +726,15 @@ def url_set_versions(spark, sf_dir):
     return website.url_set_version(table(spark, sf_dir, "pages").select(F.concat(F.lit("site"), (F.col("page_id") % 5).cast("string")).alias("framework"), "url"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT page_id, url, rtrim(ltrim({_URL_SQL}, '/'), '/') AS f FROM pages), q AS (SELECT *, CASE WHEN f = '' THEN 'index' ELSE f END AS g FROM p)
+SELECT 'site' AS framework, CASE WHEN regexp_matches(g, '\.(md|html|rst)$') THEN g ELSE g || '.md' END AS source_file, CASE WHEN page_id % 3 = 0 THEN 'cached ' ELSE '# ' END || url AS content, 'markdown' AS content_type
+FROM q WHERE page_id % 3 = 0 OR NOT ends_with(url, '7')""")
 def fetched_pages(spark, sf_dir):
     """Pages through a cache: a third is unchanged, some are gone."""
     pages = table(spark, sf_dir, "pages").select(F.lit("site").alias("framework"), "url", "page_id")
-    cache = pages.where("page_id % 3 = 0").select("framework", "url", F.lit("e1").alias("etag"), F.concat(F.lit("cached "), "url").alias("body"))
-    docs, _ = website.fetch_pages(pages.select("framework", "url"), cache, lambda url, etag: (304, etag, "") if etag else (404, None, "") if url.endswith("7") else (200, "e2", f"<h1>{url}</h1>"), H.html_to_markdown)
+    cache = pages.where("page_id % 3 = 0").select("framework", "url", F.lit("e1").alias("etag"), F.concat(F.lit("cached "), F.replace("url", F.lit("&"), F.lit("&amp;"))).alias("body"))
+    escaped = lambda url: url.replace("&", "&amp;")
+    docs, _ = website.fetch_pages(pages.select("framework", "url"), cache, lambda url, etag: (304, etag, "") if etag else (404, None, "") if url.endswith("7") else (200, "e2", f"<h1>{escaped(url)}</h1>"), H.html_to_markdown)
     return docs
 
 
@@ -732,11 +744,13 @@ def llms_candidates(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(llms_txt.candidates(F.col("url")), " ").alias("candidates"))
 
 
-@query()
+@query(rf"""WITH {SECTIONS_SQL}, cleaned AS (SELECT doc_id, {_clean_sql("content")} AS c FROM sections WHERE regexp_matches(content, '\S')), found AS (
+  SELECT doc_id, count(*) AS n, avg(length(c)) AS mean FROM cleaned WHERE c <> '' GROUP BY doc_id
+) SELECT CAST(doc_id AS VARCHAR) AS framework, coalesce(n, 0) AS n_units, round(coalesce(mean, 0), 4) AS mean_len, coalesce(n >= 10 AND mean >= 200, FALSE) AS ok FROM md LEFT JOIN found USING (doc_id)""")
 def llms_quality(spark, sf_dir):
-    """Each source's documents as one text: does it give enough units?"""
-    rows = markdown(spark, sf_dir).groupBy("framework").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "content"))), lambda x: x["content"]), "\n\n").alias("content"))
-    return llms_txt.good_enough(rows.select("framework", F.lit("llms.txt").alias("source_file"), "content", F.lit("markdown").alias("content_type")))
+    """Each document as the one text of a site: does it give enough units?"""
+    rows = markdown(spark, sf_dir).select(F.col("doc_id").cast("string").alias("framework"), F.lit("llms.txt").alias("source_file"), "content", F.lit("markdown").alias("content_type"))
+    return llms_txt.good_enough(rows).withColumn("mean_len", F.round("mean_len", 4))
 
 
 # --- small functions, vectors, streams --------------------------------------------------------------------------
@@ -764,9 +778,9 @@ def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.snippet(F.col("text"), 40).alias("snippet"))
 
 
-@query()
+@query(f"WITH {UNITS_SQL} SELECT CAST(id AS VARCHAR) AS id, 64 AS dimensions, CAST(1 AS DOUBLE) AS norm FROM u")
 def embedded_units(spark, sf_dir):
-    """Hashed vectors of all documents, and how near each is to the first."""
+    """Hashed vectors of all documents: their size, and their length, which is one."""
     rows = embed(units(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
     return rows.select("id", F.size("embedding").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 

@@ -22,8 +22,17 @@ SOURCES = (
     "url_filter string, urls array<string>, doc_system string, health_exclude boolean"
 )
 PAGE_CACHE = "framework string, url string, etag string, body string"
+#: What the store keeps of each framework.
+STORED = {
+    "units": UNITS,
+    "vectors": "id string, embedding array<float>, framework string, type string, unit_seq bigint, source_file string",
+    "pages": PAGE_CACHE,
+    "postings": "term string, unit_id string, field int, pos int",
+    "lengths": "unit_id string, len bigint",
+    "entries": "id string, framework string, type string, unit_seq bigint, relevance_decay double, source_file string",
+}
 #: Raised when a stored layout is older or newer: it is rebuilt.
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 
 def struct(text: str):

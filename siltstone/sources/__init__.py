@@ -1,82 +1,102 @@
-"""Where documents come from: a reader and a version for each kind of source."""
+"""Where documents come from: what kind a source is, and a reader and a version check for each kind."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import local
-from .config import UnsupportedSource
-
-#: Given the session and a source's entry: its raw documents, and its version.
-Reader = Callable[[SparkSession, dict[str, Any]], tuple[DataFrame, str]]
-
-
-def _read_local(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
-    return local.read(spark, source["name"], source["path"]), local.fingerprint(spark, source["path"])
-
-
-def _read_github(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
-    from siltstone.sources import github
-
-    folder = source["path"]  # a folder that driver and executors share
-    version = github.checkout(source["repo"], source["docs_path"] or "docs", folder)
-    return github.read(spark, source["name"], folder, source["glob"]), version
+from siltstone import schema
 
+from . import config, github, llms_txt, local, website
+from .config import UnsupportedSource
+from .http import Fetch, http_fetch
 
-def _read_llms_txt(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
-    from siltstone.sources.website import http_fetch
+#: Given the session, a source's entry (``cache``: its cached pages), and a fetch: raw documents, the version and, where
+#: pages were fetched, what to cache of them.
+Reader = Callable[..., tuple]
+#: Given the same: the version at the other end, None if it does not tell.
+Checker = Callable[..., "str | None"]
+#: Versions that are checked at once.
+CHECKERS = 8
 
-    got = http_fetch(source["url"])
-    if not got or got[0] != 200:
-        raise UnsupportedSource(f"{source['name']}: {source['url']} can't be read")
-    docs = spark.createDataFrame([(source["name"], "llms.txt", got[2], "markdown")], "framework string, source_file string, content string, content_type string")
-    from siltstone.sources import llms_txt
 
-    key = llms_txt.version(F.lit(got[1]), F.lit(None).cast("string"), F.col("content"))
-    return docs, docs.select(key.alias("v")).first()["v"]
+def _cache(spark: SparkSession, source: dict[str, Any]) -> DataFrame:
+    return source["cache"] if source.get("cache") is not None else spark.createDataFrame([], schema.PAGE_CACHE)
 
 
-def _read_website(spark: SparkSession, source: dict[str, Any]) -> tuple[DataFrame, str]:
+def _read_website(spark: SparkSession, source: dict[str, Any], fetch: Fetch = http_fetch) -> tuple[DataFrame, str, DataFrame]:
     from siltstone.functions.html import html_to_markdown
-    from siltstone.sources import website
-
-    def sitemap(url: str) -> DataFrame:
-        got = website.http_fetch(url)
-        return spark.createDataFrame([(source["name"], got[2] if got else "<urlset/>")], "framework string, content string")
 
-    def crawl_from(start: str) -> DataFrame:
-        found, queue = {start}, [start]
-        while queue and len(found) < website.MAX_PAGES:
-            batch, queue = queue[: website.BATCH], queue[website.BATCH :]
-            pages = spark.createDataFrame([(u,) for u in batch], "url string").repartition(website.FETCHERS)
-            html = F.udf(lambda u: (website.http_fetch(u) or (0, None, ""))[2], "string")
-            new = website.links(pages.withColumn("html", html("url")), start).select("link").distinct().orderBy("link").limit(website.MAX_PAGES).collect()
-            for r in new:
-                if r["link"] not in found and len(found) < website.MAX_PAGES:
-                    found.add(r["link"]), queue.append(r["link"])
-        return spark.createDataFrame([(u,) for u in sorted(found)], "url string")
+    html = source["doc_system"] in ("rustdoc", "typedoc")
+    return website.read(spark, source, _cache(spark, source), fetch, (lambda h: h) if html else html_to_markdown, "html" if html else "markdown")
 
-    urls = website.resolve_urls(spark, source, sitemap, crawl_from).withColumn("framework", F.lit(source["name"]))
-    cache = source.get("cache") or spark.createDataFrame([], "framework string, url string, etag string, body string")
-    keep_html = source["doc_system"] in ("rustdoc", "typedoc")
-    docs, _ = website.fetch_pages(urls, cache, website.http_fetch, (lambda h: h) if keep_html else html_to_markdown, source["url_filter"])
-    docs = docs.withColumn("content_type", F.lit("html" if keep_html else "markdown"))
-    version = website.url_set_version(urls).first()
-    return docs, version["version_key"] if version else ""
 
+READERS: dict[str, Reader] = {
+    "local": lambda spark, source, fetch=http_fetch: (local.read(spark, source["name"], source["path"]), local.fingerprint(spark, source["path"])),
+    "github": lambda spark, source, fetch=http_fetch: github.read(spark, source),
+    "llms_txt": lambda spark, source, fetch=http_fetch: llms_txt.read(spark, source, fetch),
+    "website": _read_website,
+}
+CHECKERS_BY_KIND: dict[str, Checker] = {
+    "local": lambda spark, source, fetch=http_fetch: local.fingerprint(spark, source["path"]),
+    "github": lambda spark, source, fetch=http_fetch: github.check_version(source, fetch),
+    "llms_txt": lambda spark, source, fetch=http_fetch: llms_txt.check_version(spark, source, fetch),
+    "website": lambda spark, source, fetch=http_fetch: website.check_version(spark, source, _cache(spark, source), fetch),
+}
 
-READERS: dict[str, Reader] = {"local": _read_local, "github": _read_github, "llms_txt": _read_llms_txt, "website": _read_website}
 
-
-def register_reader(kind: str, reader: Reader) -> None:
+def register_reader(kind: str, reader: Reader, checker: Checker | None = None) -> None:
     READERS[kind] = reader
+    if checker is not None:
+        CHECKERS_BY_KIND[kind] = checker
 
 
 def reader(kind: str) -> Reader:
     if kind not in READERS:
         raise UnsupportedSource(f"no reader for sources of type {kind!r}; there are {', '.join(sorted(READERS))}")
     return READERS[kind]
+
+
+def resolve(spark: SparkSession, source: dict[str, Any], fetch: Fetch = http_fetch) -> tuple[str, dict[str, Any]]:
+    """The kind of a source and its entry, completed.
+
+    What the entry does not tell the network does: a repository by its address, a site that offers one text, a site worth
+    crawling or with a sitemap, in that order."""
+    told = config.resolve(config.table(spark, {"sources": {source["name"]: source}})).first()
+    entry = source | {"url": told["url"]}
+    if told["kind"] != "auto":
+        return told["kind"], (github.located(entry) or entry) if told["kind"] == "github" else entry
+    if entry["url"]:
+        if (found := github.located(entry)) is not None:
+            return "github", found
+        if (text := llms_txt.probe(spark, entry, fetch)) is not None:
+            return "llms_txt", entry | {"url": text}
+        if (site := website.probe(spark, entry, fetch)) is not None:
+            return "website", site
+    raise UnsupportedSource(f"{source['name']}: nothing at {entry['url']!r} can be read")
+
+
+def read(spark: SparkSession, kind: str, entry: dict[str, Any], fetch: Fetch = http_fetch) -> tuple:
+    """(raw documents, version, pages to cache or None) of a resolved source."""
+    got = reader(kind)(spark, entry) if fetch is http_fetch else reader(kind)(spark, entry, fetch)
+    return got if len(got) == 3 else (*got, None)
+
+
+def remote_versions(spark: SparkSession, sources: dict[str, dict[str, Any]], fetch: Fetch = http_fetch) -> DataFrame:
+    """(framework, version_key) at the other end of each source, several at once; a source that can't be told has null."""
+
+    def one(entry: dict[str, Any]) -> str | None:
+        try:
+            kind, found = resolve(spark, entry, fetch)
+            checker = CHECKERS_BY_KIND.get(kind)
+            return checker(spark, found, fetch) if checker else None
+        except (UnsupportedSource, OSError):
+            return None
+
+    with ThreadPoolExecutor(CHECKERS) as pool:
+        versions = list(pool.map(one, sources.values()))
+    return spark.createDataFrame(list(zip(sources, versions, strict=True)), "framework string, version_key string").select("framework", F.col("version_key"))

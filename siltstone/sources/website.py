@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from siltstone.functions import patterns as P
 from siltstone.functions.columns import url_to_filepath
 from siltstone.scratch import write_table
 
-#: Pages at once and at most, and the links that make a start page a site.
-BATCH, MAX_PAGES, MIN_LINKS, FETCHERS = 64, 2000, 5, 16
-#: Given a URL and an etag: (status, etag, body), or None if it can't be reached.
-Fetch = Callable[[str, str | None], tuple[int, str | None, str] | None]
+from .http import Fetch, http_fetch  # noqa: F401
+
+#: Pages at most, the links that make a start page a site, and pages that are fetched at once.
+MAX_PAGES, MIN_LINKS, FETCHERS = 2000, 5, 16
 
 
 def sitemap_urls(sitemaps: DataFrame, url_filter: str = "") -> DataFrame:
@@ -92,12 +93,11 @@ def url_set_version(urls: DataFrame) -> DataFrame:
     return urls.groupBy("framework").agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_set("url")), "\n"), 256), F.lit(12)).alias("version_key"))
 
 
-def fetch_pages(urls: DataFrame, cache: DataFrame, fetch: Fetch, to_text: Callable[[str], str], url_filter: str = "", fetchers: int = FETCHERS) -> tuple[DataFrame, DataFrame]:
-    """(raw documents, cache rows) of ``urls`` (framework, url).
+def _fetched(urls: DataFrame, cache: DataFrame, fetch: Fetch, fetchers: int) -> DataFrame:
+    """(framework, url, etag, body) of the pages that answer, stored: each is asked for once, on an executor.
 
-    An unchanged page (304) comes from the cache; others than 200, and blank pages, are left out.  ``fetch`` runs on the
-    executors, ``fetchers`` at a time."""
-    asked = urls.join(cache, ["framework", "url"], "left").repartition(fetchers)
+    An unchanged page (304) comes from the cache; others than 200, and blank pages, are left out."""
+    asked = urls.select("framework", "url").join(cache.select("framework", "url", "etag", "body"), ["framework", "url"], "left").repartition(fetchers)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -108,33 +108,109 @@ def fetch_pages(urls: DataFrame, cache: DataFrame, fetch: Fetch, to_text: Callab
                 got = fetch(url, etag if body else None)
                 if got and got[0] == 304 and body:
                     out.append((fw, url, etag, body))
-                elif got and got[0] == 200 and (text := to_text(got[2])).strip():
-                    out.append((fw, url, got[1], text))
+                elif got and got[0] == 200 and got[2].strip():
+                    out.append((fw, url, got[1], got[2]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["framework", "url", "etag", "body"])
 
-    pages = asked.mapInArrow(run, "framework string, url string, etag string, body string").persist()
-    docs = pages.select("framework", url_to_filepath(F.col("url"), url_filter).alias("source_file"), F.col("body").alias("content"), F.lit("markdown").alias("content_type"))
-    return docs, pages.where(F.col("etag").isNotNull())
+    return write_table(asked.mapInArrow(run, "framework string, url string, etag string, body string"), "pages")
 
 
-def http_fetch(url: str, etag: str | None = None, timeout: float = 15.0, waits: tuple[int, ...] = (0, 2, 4, 8)) -> tuple[int, str | None, str] | None:
-    """A page over HTTP; busy servers (429, 502, 503, 504) are asked again."""
-    import time
-    from urllib import error, request
+def as_documents(pages: DataFrame, to_text: Callable[[str], str], url_filter: str = "") -> DataFrame:
+    """Raw documents of fetched pages; those without text are left out."""
 
-    for wait in waits:
-        time.sleep(wait)
-        try:
-            with request.urlopen(request.Request(url, headers={"If-None-Match": etag} if etag else {}), timeout=timeout) as r:
-                return r.status, r.headers.get("ETag"), r.read().decode("utf-8", "replace")
-        except error.HTTPError as e:
-            if e.code not in (429, 502, 503, 504):
-                return e.code, None, ""
-        except OSError:
-            continue
-    return None
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [to_text(body) for body in batch.column("body").to_pylist()]
+            rows = batch.select(["framework", "url"]).append_column("content", pa.array(texts, pa.string()))
+            yield rows.filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
+
+    read = pages.select("framework", "url", "body").mapInArrow(run, "framework string, url string, content string")
+    return read.select("framework", url_to_filepath(F.col("url"), url_filter).alias("source_file"), "content", F.lit("markdown").alias("content_type"))
+
+
+def fetch_pages(urls: DataFrame, cache: DataFrame, fetch: Fetch, to_text: Callable[[str], str], url_filter: str = "", fetchers: int = FETCHERS) -> tuple[DataFrame, DataFrame]:
+    """(raw documents, cache rows) of ``urls`` (framework, url).
+
+    ``fetch`` runs on the executors, ``fetchers`` at a time; pages with an etag go to the cache as they came."""
+    pages = _fetched(urls, cache, fetch, fetchers)
+    return as_documents(pages, to_text, url_filter), pages.where(F.col("etag").isNotNull())
+
+
+def crawl_pages(start: str, framework: str, cache: DataFrame, fetch: Fetch, max_pages: int = MAX_PAGES, fetchers: int = FETCHERS, max_depth: int = 64) -> DataFrame:
+    """(framework, url, etag, body) of the pages below ``start``, breadth first, each fetched once.
+
+    A round fetches the frontier on the executors and joins its links with what was seen; addresses are taken in order,
+    and the search ends at ``max_pages`` addresses, the crawl's own limit."""
+    spark = cache.sparkSession
+    start = start.rstrip("/")
+    frontier = spark.createDataFrame([(framework, start)], "framework string, url string")
+    seen, count, pages = frontier, 1, None
+    for _ in range(max_depth):
+        got = _fetched(frontier, cache, fetch, fetchers)
+        pages = got if pages is None else pages.unionByName(got)
+        found = links(got.select("url", F.col("body").alias("html")), start).select(F.lit(framework).alias("framework"), F.col("link").alias("url")).distinct()
+        frontier = write_table(found.join(seen, ["framework", "url"], "left_anti").orderBy("url").limit(max(0, max_pages - count)), "frontier")
+        new = frontier.count()
+        if not new:
+            break
+        seen, count = seen.unionByName(frontier), count + new
+    return pages
+
+
+def discover_sitemap(url: str, fetch: Fetch) -> str | None:
+    """The address of a site's sitemap: at the host's root, else below the address; only heads are asked for."""
+    base = url.rstrip("/").removesuffix("/*").rstrip("/")
+    root = "/".join(base.split("/")[:3])
+    return next((f"{at}/sitemap.xml" for at in dict.fromkeys((root, base)) if (got := fetch(f"{at}/sitemap.xml", None, "HEAD")) and got[0] == 200), None)
 
 
 def is_site(n_links: int, typedoc: bool = False, sitemap: bool = False) -> bool:
     """Whether a start page is worth crawling."""
     return n_links >= MIN_LINKS or typedoc or sitemap
+
+
+def probe(spark: SparkSession, source: dict[str, Any], fetch: Fetch) -> dict[str, Any] | None:
+    """What the entry of a website says after a look at its start page: to be crawled, or to be read by its sitemap."""
+    url = source["url"]
+    got = fetch(url)
+    if got and got[0] == 200:
+        pages = spark.createDataFrame([(url, got[2])], "url string, html string")
+        if is_site(links(pages, url.rstrip("/")).count(), P.TYPEDOC_MARK in got[2]):
+            return source | {"url": f"{url.rstrip('/')}/*"}
+    sitemap = discover_sitemap(url, fetch)
+    return source | {"sitemap": sitemap, "url_filter": source.get("url_filter") or url.rstrip("/")} if is_site(0, sitemap=sitemap is not None) else None
+
+
+def _sitemap(spark: SparkSession, name: str, fetch: Fetch) -> Callable[[str], DataFrame]:
+    def read(url: str) -> DataFrame:
+        got = fetch(url)
+        return spark.createDataFrame([(name, got[2] if got and got[0] == 200 else "<urlset/>")], "framework string, content string")
+
+    return read
+
+
+def read(spark: SparkSession, source: dict[str, Any], cache: DataFrame, fetch: Fetch, to_text: Callable[[str], str], content_type: str = "markdown") -> tuple[DataFrame, str, DataFrame]:
+    """Raw documents, version and cache rows of a website."""
+    name, url = source["name"], source.get("url") or ""
+    if url.endswith("/*") and not source.get("sitemap") and not source.get("urls"):
+        pages = crawl_pages(url[:-2], name, cache, fetch)
+        urls = pages.select("framework", "url")
+    else:
+        urls = resolve_urls(spark, source, _sitemap(spark, name, fetch), lambda start: None).select(F.lit(name).alias("framework"), "url").distinct()
+        pages = _fetched(urls, cache, fetch, FETCHERS)
+    docs = as_documents(pages, to_text, source.get("url_filter") or "").withColumn("content_type", F.lit(content_type))
+    told = url_set_version(urls).first()
+    return docs, told["version_key"] if told else "", pages.where(F.col("etag").isNotNull())
+
+
+def check_version(spark: SparkSession, source: dict[str, Any], cache: DataFrame, fetch: Fetch) -> str | None:
+    """The version of the set of addresses at the other end; a site that is crawled has to be crawled for it."""
+    name, url = source["name"], source.get("url") or ""
+    if url.endswith("/*") and not source.get("sitemap") and not source.get("urls"):
+        urls = crawl_pages(url[:-2], name, cache, fetch).select("framework", "url")
+    else:
+        urls = resolve_urls(spark, source, _sitemap(spark, name, fetch), lambda start: None).select(F.lit(name).alias("framework"), "url").distinct()
+    told = url_set_version(urls).first()
+    return told["version_key"] if told else None

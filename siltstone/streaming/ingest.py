@@ -1,7 +1,7 @@
 """Documents that arrive in a folder, ingested as a stream.
 
-A batch's frameworks are replaced as a whole by :class:`siltstone.operators.store.Store`; a batch that runs again after
-a failure writes the same state.
+The files of a batch are replaced one by one, with their vectors and their part of the index: an edited file leaves none
+of its old units.  A batch that runs again after a failure writes the same state.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siltstone import schema
 from siltstone.operators.store import Store
-from siltstone.operators.units import extract, first_by_id
+from siltstone.operators.units import extract
 
 
 def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -25,8 +25,8 @@ def start(docs: DataFrame, store: Store, checkpoint: str, doc_system: str = "gen
     """Ingests each batch into ``store``; ends when what is there has been read."""
 
     def publish(batch: DataFrame, _: int) -> None:
-        units = first_by_id(extract(batch.drop("arrived"), doc_system))
-        store.insert(units)
+        latest = batch.groupBy("framework", "source_file").agg(F.max_by(F.struct("content", "content_type"), "arrived").alias("d")).select("framework", "source_file", "d.*")
+        store.replace_files(extract(latest, doc_system), latest)
 
     return docs.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
