@@ -29,7 +29,7 @@ def units(spark):
     return spark.createDataFrame(rows, COLUMNS).persist()
 
 
-@pytest.mark.parametrize("query", ["main loop", "loop", "The MAIN loop", "cafe", "loop main", '"run" twice', "café"])
+@pytest.mark.parametrize("query", ["main loop", "loop", "The MAIN loop", "cafe", "loop main", '"run" twice', "café", "cafë"])
 def test_bm25_agrees_with_sqlite(units, query, tmp_path):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(content, module_path, related_symbols, heading_hierarchy)")
@@ -236,6 +236,65 @@ def test_store(spark, tmp_path):
     assert store.units().count() == 0 and ST.Store(spark, str(tmp_path)).units().count() == 0
 
 
+def test_store_publishes_one_framework_at_a_time(spark, tmp_path):
+    docs = lambda fw, *texts: spark.createDataFrame([(fw, f"{i}.md", f"# T\n{t}", "markdown") for i, t in enumerate(texts)], schema.RAW_DOCS)
+    vectors = lambda u: u.select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"), "framework", "type", "unit_seq", "source_file")
+    store = ST.Store(spark, str(tmp_path), kept=2)
+    store.insert(U.ingest(docs("fa", "one", "two").unionByName(docs("fb", "three"))), vectors, ("v", "mkdocs"))
+    before, other = store.units(), set(store.units("fb").inputFiles())
+    store.replace("fa", U.ingest(docs("fa", "one")), vectors, ("w", "mkdocs"))
+    ids = {r.id for r in store.units().collect()}
+    assert len(ids) == 2 and {r.id for r in store.read("vectors").collect()} == ids  # the vector of a unit that is gone went with it
+    assert {r.id for r in store.index().units.collect()} == ids and IX.keyword_search(store.index(), "two").count() == 0 and IX.keyword_search(store.index(), "one").count() == 1
+    assert set(store.units("fb").inputFiles()) == other  # not written again
+    assert before.count() == 3  # taken before, and still readable
+    assert store.version("fa") == "w" and {r.framework: r.version_key for r in store.versions().collect()} == {"fa": "w", "fb": "v"}
+    old = store.units("fa").inputFiles()[0].removeprefix("file://")
+    for text in ("x", "y", "z"):
+        store.replace("fa", U.ingest(docs("fa", text)))
+    import os
+
+    assert not os.path.exists(old) and set(store.units("fb").inputFiles()) == other and len(store._numbers()) == 2
+    store.replace_files(U.ingest(docs("fa", "new", "more")), docs("fa", "new", "more"))
+    assert sorted(r.content for r in store.units("fa").collect()) == ["more", "new"]
+
+
+def test_equal_scores_are_ordered_by_place(spark):
+    rows = spark.createDataFrame([("fw", f"{name}.md", "# T\nthe same words", "markdown") for name in "dbaec"], schema.RAW_DOCS)
+    made = U.ingest(rows).repartition(3)
+    files = {r.id: r.source_file for r in made.collect()}
+    for index in (IX.build(made), IX.build(made).stored()):
+        assert [files[r.id] for r in IX.keyword_search(index, "same words", 3).orderBy("rank").collect()] == ["a.md", "b.md", "c.md"]
+    near = made.select("*", F.array(F.lit(1.0)).alias("embedding"))
+    assert [files[r.id] for r in SE.semantic_search(near, [1.0], 3).orderBy("rank").collect()] == ["a.md", "b.md", "c.md"]
+
+
+def test_batch_finds_whole_phrases(spark, units, tmp_path):
+    asked = spark.createDataFrame([(1, ["the", "main", "loop"]), (2, ["main"]), (3, ["loop", "the"]), (4, []), (5, ["none", "main"]), (6, ["main", "loop", "of", "café", "the", "main"])], "qid long, words array<string>")
+    asked = asked.unionByName(spark.createDataFrame([(7, ["main", "loop", "of", "cafe", "the", "main"]), (8, ["the", "the"])], "qid long, words array<string>"))
+    got = {}
+    for r in IX.keyword_batch(IX.build(units), asked, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    for qid, words in ((1, "the main loop"), (2, "main"), (7, "main loop of café the main")):
+        assert got[qid] == [(r.id, pytest.approx(r.score)) for r in IX.keyword_search(IX.build(units), words).orderBy("rank").collect()]
+    assert set(got) == {1, 2, 7}
+
+
+def test_numbers_over_several_ranges(spark):
+    from siltstone.operators.ranking import numbered
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("s"), (F.col("id") * 7919 % 1000).alias("x")).repartition(5)
+    got = numbered(rows, "s", F.desc("x")).collect()
+    for s in range(3):
+        assert [r.x for r in sorted((r for r in got if r.s == s), key=lambda r: r.ord)] == sorted((r.x for r in got if r.s == s), reverse=True) and sorted(r.ord for r in got if r.s == s) == list(range(1, 1 + sum(r.s == s for r in got)))
+
+
+def test_marks_are_folded(spark):
+    words = {"hôtel": "hotel", "naïf": "naif", "NOËL": "noel", "Ångström": "angstrom", "čeština": "cestina", "łódź": "łodz", "Việt": "viet", "ñandú": "nandu", "plain": "plain", "straße": "straße"}
+    got = {r.w: r.f for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", C.fold(F.col("w")).alias("f")).collect()}
+    assert got == words
+
+
 def test_registered_parser_and_extractor(spark):
     from siltstone.functions.documents import Section, Unit
 
