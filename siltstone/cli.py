@@ -19,6 +19,8 @@ from siltstone.service import NotFound, Service, server
 from siltstone.sources import UnsupportedSource, config
 
 HOME = "~/.siltstone"
+#: Names of a module that people are shown.
+SHOWN_SYMBOLS = 5
 #: What ``init`` writes.
 TEMPLATE = {"data_dir": f"{HOME}/data", "min_health_score": 80, "sources": {"example": {"path": "/path/to/markdown", "language": "python"}}}
 
@@ -72,6 +74,9 @@ def _line(value: Any) -> str:
     if isinstance(value, dict) and "content" in value:
         first = next((x.strip() for x in (value["content"] or "").split("\n") if x.strip()), "")
         return f"[{value['type']}] {value['framework']} {' > '.join(value['heading_hierarchy'] or [])}\n    {first[:100]}"
+    if isinstance(value, dict) and "symbols" in value:
+        names, more = value["symbols"][:SHOWN_SYMBOLS], len(value["symbols"]) - SHOWN_SYMBOLS
+        return f"{value['name']}: {', '.join(names)}{f' (+{more})' if more > 0 else ''}"
     return "  ".join(f"{k}={v}" for k, v in value.items()) if isinstance(value, dict) else str(value)
 
 
@@ -81,11 +86,11 @@ def render(value: Any, as_json: bool, out: TextIO) -> None:
     elif isinstance(value, dict) and any(isinstance(v, (list, dict)) for v in value.values()) and "content" not in value:
         for name, part in value.items():
             print(f"{name}:", file=out)
-            for x in part if isinstance(part, list) else [part]:
-                print(f"  {_line(x)}", file=out)
+            for n, x in enumerate(part if isinstance(part, list) else [part], 1):
+                print(f"  {n}. {_line(x)}", file=out)
     else:
-        for x in value if isinstance(value, list) else [value]:
-            print(_line(x), file=out)
+        for n, x in enumerate(value, 1) if isinstance(value, list) else [(0, value)]:
+            print(f"{n}. {_line(x)}" if n else _line(x), file=out)
 
 
 def _init(path: str) -> dict[str, str]:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +31,41 @@ def hashing_embedder(texts: list[str], dimensions: int = DIMENSIONS) -> list[lis
     return (out / np.where(norms > 0, norms, 1)).tolist()
 
 
+@cache
+def _opened(model: str, tokenizer: str, max_tokens: int) -> tuple[Any, Any]:
+    """A session and a tokenizer, once a process."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    words = Tokenizer.from_file(tokenizer)
+    words.enable_truncation(max_tokens)
+    words.enable_padding()
+    return onnxruntime.InferenceSession(model), words
+
+
+@dataclass(frozen=True)
+class ModelEmbedder:
+    """Vectors of an ONNX text model: token vectors averaged over each text and of length one.
+
+    ``model`` and ``tokenizer`` are files that every executor can read; they are opened once in each of their processes."""
+
+    model: str
+    tokenizer: str
+    max_tokens: int = 512
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        session, words = _opened(self.model, self.tokenizer, self.max_tokens)
+        encoded = words.encode_batch([t or "" for t in texts])
+        mask = np.array([e.attention_mask for e in encoded], np.int64)
+        given = {"input_ids": np.array([e.ids for e in encoded], np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+        tokens = session.run(None, {i.name: given[i.name] for i in session.get_inputs()})[0]
+        mean = (tokens * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
+        norms = np.linalg.norm(mean, axis=1, keepdims=True)
+        return (mean / np.where(norms > 0, norms, 1)).tolist()
+
+
 def embed(units: DataFrame, embedder: Embedder = hashing_embedder, batch: int = BATCH) -> DataFrame:
     """(id, embedding, framework, type, unit_seq, source_file) of each unit, texts given to the model in batches."""
     names = ("id", "embedding", "framework", "type", "unit_seq", "source_file")
