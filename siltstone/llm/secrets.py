@@ -97,11 +97,8 @@ class Ledger:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
     def update(self, docs: DataFrame, version: int = VERSION) -> Ledger:
-        """Scans what ``docs`` has and the ledger has not, and appends it; a task that runs again writes its rows once.
-
-        Rows that repeat an id and a text are scanned twice and kept once."""
-        new = scan(unseen(docs, self.read(), version), version).dropDuplicates(["blob", "version"])
-        new.write.mode("append").parquet(self.path)
+        """Scans what ``docs`` has and the ledger has not, and appends it; a task that runs again writes its rows once."""
+        scan(unseen(docs, self.read(), version), version).write.mode("append").parquet(self.path)
         return self
 
     def drop(self) -> None:
@@ -109,12 +106,13 @@ class Ledger:
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, version: int = VERSION) -> DataFrame:
-    """(blob, text) of the blobs of ``docs`` without a row of ``version`` in the ledger, one holder each.
+    """(blob, text) of the blobs of ``docs`` without a row of ``version`` in the ledger, each once.
 
     The holder is found on ids alone (reduced before the shuffle); texts are dealt by id and blob, which are spread
-    however often a text repeats."""
-    paths = _keyed(docs)
-    holders = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))
+    however often a text repeats, and rows that repeat both are one before they are dealt."""
+    every = _keyed(docs)
+    paths = every.groupBy("blob", "doc_id").agg(F.any_value("text").alias("text"))
+    holders = every.groupBy("blob").agg(F.min("doc_id").alias("holder"))
     if ledger is not None:
         holders = holders.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     held = holders.withColumnRenamed("blob", "__blob")
