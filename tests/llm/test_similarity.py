@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siltstone.llm import ann as A
 from siltstone.llm import nearcopies as N
@@ -140,10 +141,12 @@ def test_no_link_of_a_dense_group_is_lost(spark):
     assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == sorted(set(root)) and 1 < len(set(root)) < 260
 
 
-def test_overlaps():
+def test_first_near():
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 50, n, np.uint64)) for n in (1, 5, 30, 0, 60)]
-    assert N.overlaps(sets, sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    sets = [np.unique(rng.integers(0, 50, n, np.uint64)) for n in (1, 5, 30, 60, 60, 90, 40)]
+    for similarity in (0.2, 0.5, 0.8):
+        want = [next((k for k, b in enumerate(sets[:5]) if jaccard(set(a.tolist()), set(b.tolist())) >= similarity), -1) for a in sets]
+        assert N.first_near(sets, sets[:5], similarity) == want
 
 
 def plain_repeats(texts, length):
@@ -177,6 +180,17 @@ def test_repeated_substrings(spark, odd_docs, no_docs, large):
     assert B.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_in_a_text_of_several_chunks(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(300)
+    before = noise(B.CHUNK - 150)  # the passage lies across the end of the first chunk
+    long = before + passage + noise(B.CHUNK) + passage + noise(500)
+    got = {r.doc_id: r for r in B.remove_repeats(spark.createDataFrame([(1, long), (2, "x" + passage), (3, noise(400))], "doc_id long, text string")).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(long), 600, 2) and got[1].kept_sha256 == hashlib.sha256(long.replace(passage, "").encode()).hexdigest()
+    assert (got[2].n_removed, got[3].n_removed) == (300, 0)
+
+
 def test_units_cover_every_string_once():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000).astype(np.uint8)
@@ -209,7 +223,8 @@ def test_nearest_neighbours_exact_on_few_lists(spark):
     rows = [(int(i), [float(x) for x in r]) for i, r in enumerate(v)]
     bad = [(1000, None), (1020, [0.0] * 12), (1040, [float("nan")] * 12), (1060, [1.0, None] * 6), (1080, [1.0] * 5), (None, [1.0] * 12), rows[60]]
     got: dict = {}
-    for r in A.search(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+    clash = {c: F.lit(1) for c in ("vec", "ids", "list", "at", "query_id", "rank", "score", "part", "wave", "found")}  # names that the operator uses
+    for r in A.search(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumns(clash)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert sorted(got) == list(range(0, 700, 20))
     found = total = 0
