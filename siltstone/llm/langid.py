@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .store import texts
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 UNKNOWN = "und"
 #: Training bytes of all languages, of one language, and of one text.
 TOTAL_BYTES, LANGUAGE_BYTES, TEXT_BYTES = 48 << 20, 2 << 20, 50_000
@@ -136,7 +136,7 @@ def _tree(docs: list[bytes]) -> Tree:
 
 def code_lengths(model: PpmModel, docs: list[bytes]) -> np.ndarray:
     """Bits by text and language, in chunks of whole and of cut texts."""
-    import pandas as pd
+    import pyarrow as pa
 
     total = np.zeros((len(docs), len(model.langs)))
 
@@ -147,7 +147,8 @@ def code_lengths(model: PpmModel, docs: list[bytes]) -> np.ndarray:
             return
         sizes = np.array([len(p) for _, p in pieces])
         starts = np.cumsum(sizes) - sizes
-        codes, distinct = pd.factorize(_strings(data))
+        encoded = pa.array(_strings(data)).dictionary_encode()
+        codes, distinct = encoded.indices.to_numpy(), encoded.dictionary.to_numpy()
         # A string belongs to the byte it ends at; those that end in a piece's first three bytes count for nothing.
         counts = np.ones(len(data))
         for back in range(3):

@@ -55,6 +55,14 @@ def test_code_lengths_by_brute_force(monkeypatch):
             assert np.exp2(-tree.bits(strings)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_a_text_of_several_chunks(spark):
+    model = L.fit({"en": [b"the cat sat on the mat " * 30], "de": ["der Hund lag auf der Wiese ".encode() * 30]})
+    text = "the cat " * 200_000 + "der Hund auf der Wiese " * 10
+    got = L.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, ["doc_id"]).first()
+    want = L.code_lengths(model, [text.encode()])[0]
+    assert len(text) > 3 * L.CHUNK and got.lang_pred == "en" and got.bits_per_byte == pytest.approx(want.min() / len(text))
+
+
 def test_every_language_is_learnt_within_the_bounds(spark):
     docs = spark.createDataFrame([(i, f"lang{i % 90} " * (5 if i % 90 else 400), f"l{i % 90:02d}") for i in range(3000)] + [(9000, "long " * 20_000, "rare"), (9001, None, "empty"), (None, "x", "noid")], "doc_id long, text string, lang string")
     got = L.sample(docs)
