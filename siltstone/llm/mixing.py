@@ -40,8 +40,10 @@ RATE, SWEEPS, TOLERANCE = 0.5, 60, 1e-7
 
 
 def _words_pattern(topics: dict[str, tuple[str, ...]]) -> str:
-    """One pattern for all beginnings; what stands before a word is taken with it, so no look-behind is needed."""
-    return f"(?:^|[^a-z])({'|'.join(w for words in topics.values() for w in words)})"
+    """One pattern for all beginnings, by their first letters, of a text with a space before it; what stands before a word
+    is taken with it, so no look-behind is needed."""
+    words = [w for ws in topics.values() for w in ws]
+    return "[^a-z](" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in sorted({w[0] for w in words})) + ")"
 
 
 def topic_of(text: Column, topics: dict[str, tuple[str, ...]] | None = None) -> Column:
@@ -50,7 +52,7 @@ def topic_of(text: Column, topics: dict[str, tuple[str, ...]] | None = None) ->
     form = F.lit("prose")
     for name, pattern in reversed(FORMS):
         form = F.when(text.rlike(pattern), F.lit(name)).otherwise(form)
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.concat(F.lit(" "), F.lower(text))
 
     def counted(hits: Column, k: int, name: str) -> Column:
         return F.struct(F.size(F.filter(hits, lambda h: h.isin(*topics[name]))).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name"))
@@ -215,7 +217,7 @@ def _oracle() -> str:
     form = "'prose'"
     for name, pattern in reversed(FORMS):
         form = f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{name}' ELSE {form} END"
-    hits = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_words_pattern(TOPICS)}', 1)"
+    hits = f"regexp_extract_all(' ' || lower(text), '{_words_pattern(TOPICS)}', 1)"
     counts = ", ".join("len(list_filter(hits, lambda h: h IN (" + ", ".join(f"'{w}'" for w in words) + ")))" for words in TOPICS.values())
     names = ", ".join(f"'{name}'" for name in TOPICS)
     sql = f"""WITH RECURSIVE heard AS (
