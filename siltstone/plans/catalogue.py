@@ -696,9 +696,9 @@ def typedoc_sections(spark, sf_dir):
 
 @query("SELECT 'site' || (page_id % 5) AS framework, url FROM pages WHERE contains(url, 'example.')")
 def sitemap_urls(spark, sf_dir):
-    """Sitemaps made from the pages' addresses, read back."""
+    """Sitemaps made from the pages' addresses, up to a thousand in each, read back."""
     escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    rows = table(spark, sf_dir, "pages").groupBy(F.concat(F.lit("site"), (F.col("page_id") % 5).cast("string")).alias("framework")).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), "").alias("body"))
+    rows = table(spark, sf_dir, "pages").groupBy(F.concat(F.lit("site"), (F.col("page_id") % 5).cast("string")).alias("framework"), F.floor(F.col("page_id") / 5000)).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>"))), "").alias("body"))
     maps = rows.select("framework", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "body", F.lit("</urlset>")).alias("content"))
     return website.sitemap_urls(maps, "example.")
 
