@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import drop_table, texts, write_table
+from .store import drop_table, pieces, texts, write_table
 
 #: Bytes that are part of a word: 0-9, a-z (A-Z is lower-cased) and everything outside ASCII.
 _TO_WORD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -164,7 +164,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, **sizes) -> Dat
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [_scan_all(shared.value, t) for t in texts(batch)]
             n_hit = [int(h.sum()) for _, h, _ in rows]
             yield pa.RecordBatch.from_arrays(
@@ -223,7 +223,7 @@ def _windows(df: DataFrame, key: str, sizes: list[int], width: int, whole_items:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             for k, text in zip(batch.column(key).to_pylist(), texts(batch), strict=True):
                 words = words_of(text)
                 for size in [min(width, len(words))] if whole_items else sizes:
@@ -313,7 +313,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, mode: str = "
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             values = texts(batch)
             hits = told(batch) if shared is None else [_scan_all(shared.value, t)[1] for t in values]
             if mode == "documents":

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import texts
+from .store import pieces, texts
 
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: PpmModel, keep: list[str] = ()) -> DataFram
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores, rates = predict(shared.value, texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
@@ -253,7 +253,7 @@ def keep_known(docs: DataFrame, model: PpmModel, max_bits: float = 7.0) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             langs, _, rates = predict(shared.value, texts(batch))
             yield batch.filter(pa.array([lang != UNKNOWN and rate <= max_bits for lang, rate in zip(langs, rates, strict=True)], pa.bool_()))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import drop_table, texts, write_table
+from .store import drop_table, pieces, texts, write_table
 
 #: Titles that say the gender of the name behind them.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"], "u": ["Dr", "Prof"]}
@@ -389,7 +389,7 @@ def _entities(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             seen: set[tuple[str, str]] = set()
             for raw in texts(batch):
                 text = raw.decode() if raw else ""
@@ -487,7 +487,7 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = 200_000, repo
         import pyarrow as pa
 
         writer = Rewriter(key)
-        for batch in batches:
+        for batch in pieces(batches):
             new, counts, spans = [], [], []
             own = batch.column("__again").to_pylist() if "__again" in batch.schema.names else None
             for k, raw in enumerate(texts(batch)):
@@ -512,7 +512,7 @@ def _with_attempts(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             rows = {"__key": [], "kind": [], "same": []}
             for key, raw in zip(batch.column("__key").to_pylist(), texts(batch), strict=True):
                 text = raw.decode() if raw else ""

@@ -135,11 +135,11 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from siltstone.llm.store import texts
+        from siltstone.llm.store import pieces, texts
 
         model = shared.value
         packers = Packers(model)
-        for batch in batches:
+        for batch in pieces(batches):
             value = model.probability(np.array([packers.sizes(t or b"") for t in texts(batch, "__text")]).reshape(-1, 2))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(value, pa.float64()), pa.array(value >= THRESHOLD).cast(pa.int32())], names=[*keep, "score", "predicted"])
 

@@ -70,9 +70,9 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: in
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from siltstone.llm.store import texts
+        from siltstone.llm.store import pieces, texts
 
-        for batch in batches:
+        for batch in pieces(batches):
             values = np.fromiter((fingerprint(t, width) for t in texts(batch, "__text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values.view(np.int64))], names=[*keep, name])
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.scratch import drop_table, shared_dir, write_table
 
-__all__ = ["drop_table", "let", "shared_dir", "texts", "write_table"]
+__all__ = ["drop_table", "let", "pieces", "shared_dir", "texts", "write_table"]
+
+#: Rows of a batch that are worked on at a time.
+ROWS = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,3 +25,10 @@ def texts(batch, name: str = "text") -> list[bytes | None]:
     import pyarrow as pa
 
     return batch.column(name).cast(pa.large_binary()).to_pylist()
+
+
+def pieces(batches: Iterator) -> Iterator:
+    """The batches in slices of ROWS rows, so that only so many texts are copied and held as Python values at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)

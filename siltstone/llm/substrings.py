@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import drop_table, texts, write_table
+from .store import drop_table, pieces, texts, write_table
 
 LENGTH, GRAM = 200, 48
 CHUNK = 1 << 20
@@ -205,7 +205,7 @@ def _all_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             ids, ths = (batch.column(c).to_numpy() for c in ("id", "th"))
             parts: list[list[np.ndarray]] = []
             for i, th, text in zip(ids, ths, texts(batch), strict=True):
@@ -252,7 +252,7 @@ def _pieces(rows: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("lead", pa.int16()), ("full", pa.bool_()), ("kinds", pa.int64()), ("bytes", pa.binary())])
-        for batch in batches:
+        for batch in pieces(batches):
             for i, th, asked, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("asked"), texts(batch), strict=True):
                 one = pa.RecordBatch.from_struct_array(asked.values)
                 start, count = one.column("start").to_pylist(), one.column("count").to_pylist()
@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             out = {"kept": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             for k, text in enumerate(texts(batch)):
                 starts = batch.column("starts")[k]
