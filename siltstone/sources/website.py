@@ -96,8 +96,10 @@ def url_set_version(urls: DataFrame) -> DataFrame:
 def _fetched(urls: DataFrame, cache: DataFrame, fetch: Fetch, fetchers: int) -> DataFrame:
     """(framework, url, etag, body) of the pages that answer, stored: each is asked for once, on an executor.
 
-    An unchanged page (304) comes from the cache; others than 200, and blank pages, are left out."""
-    asked = urls.select("framework", "url").join(cache.select("framework", "url", "etag", "body"), ["framework", "url"], "left").repartition(fetchers)
+    An unchanged page (304) comes from the cache; others than 200, and blank pages, are left out.  Repeated rows of either
+    side are one; of several marks of a page the largest one counts, with its body."""
+    known = cache.groupBy("framework", "url").agg(F.max(F.struct("etag", "body")).alias("c")).select("framework", "url", "c.etag", "c.body")
+    asked = urls.select("framework", "url").distinct().join(known, ["framework", "url"], "left").repartition(fetchers)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -133,9 +135,10 @@ def as_documents(pages: DataFrame, to_text: Callable[[str], str], url_filter: st
 def fetch_pages(urls: DataFrame, cache: DataFrame, fetch: Fetch, to_text: Callable[[str], str], url_filter: str = "", fetchers: int = FETCHERS) -> tuple[DataFrame, DataFrame]:
     """(raw documents, cache rows) of ``urls`` (framework, url).
 
-    ``fetch`` runs on the executors, ``fetchers`` at a time; pages with an etag go to the cache as they came."""
+    ``fetch`` runs on the executors, ``fetchers`` at a time; pages with an etag go to the cache as they came.  An address
+    that ``urls`` repeats is fetched once, and is a document for each of its rows."""
     pages = _fetched(urls, cache, fetch, fetchers)
-    return as_documents(pages, to_text, url_filter), pages.where(F.col("etag").isNotNull())
+    return as_documents(urls.select("framework", "url").join(pages, ["framework", "url"]), to_text, url_filter), pages.where(F.col("etag").isNotNull())
 
 
 def crawl_pages(start: str, framework: str, cache: DataFrame, fetch: Fetch, max_pages: int = MAX_PAGES, fetchers: int = FETCHERS, max_depth: int = 64) -> DataFrame:
