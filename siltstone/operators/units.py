@@ -56,12 +56,13 @@ def parse_sections(docs: DataFrame, doc_system: str = "generic_md") -> DataFrame
     return docs.select("framework", "source_file", "content").mapInArrow(run, schema.SECTIONS)
 
 
-def extract(docs: DataFrame, doc_system: str = "generic_md", language: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def extract(docs: DataFrame, doc_system: str = "generic_md", language: str | None = None, carry: tuple[str, ...] = (), split: bool = True) -> DataFrame:
     """Units of each raw document, before deduplication; unit_seq orders them within a document.
 
-    ``language`` is for documents without a ``language`` column; the columns ``carry`` of a document go with its units."""
+    ``language`` is for documents without a ``language`` column; the columns ``carry`` of a document go with its units.
+    Without ``split`` long units stay whole; a registered extractor splits as it likes."""
     parser = PARSERS.get(doc_system, PARSERS["generic_md"])
-    extractor = EXTRACTORS.get(doc_system) or (lambda sections, fw, path, lang: D.units_of(sections, fw, path, lang, doc_system))
+    extractor = EXTRACTORS.get(doc_system) or (lambda sections, fw, path, lang: (D.units_of if split else D.whole_units)(sections, fw, path, lang, doc_system))
     default = DEFAULT_LANGUAGE.get(doc_system)
     frame = docs if "language" in docs.columns else docs.withColumn("language", F.lit(language).cast("string"))
 

@@ -31,9 +31,11 @@ def version(etag: Column, modified: Column, text: Column) -> Column:
     return F.coalesce(http_version(etag, modified), content_hash(text))
 
 
-def good_enough(docs: DataFrame) -> DataFrame:
-    """(framework, n_units, mean_len, ok): whether raw documents give enough units of enough length; HTML never does."""
-    units = extract(docs.where(~F.lower(F.substring(F.ltrim("content"), 1, 15)).rlike("^(?:<!doctype|<html)")), "llms_txt")
+def good_enough(docs: DataFrame, split: bool = True) -> DataFrame:
+    """(framework, n_units, mean_len, ok): whether raw documents give enough units of enough length; HTML never does.
+
+    Long units count as their parts, or, without ``split``, as the one that their section is."""
+    units = extract(docs.where(~F.lower(F.substring(F.ltrim("content"), 1, 15)).rlike("^(?:<!doctype|<html)")), "llms_txt", split=split)
     found = units.groupBy("framework").agg(F.count("*").alias("n_units"), F.avg(F.length("content")).alias("mean_len"))
     told = docs.select("framework").distinct().join(found, "framework", "left").select("framework", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("mean_len", F.lit(0.0)).alias("mean_len"))
     return told.withColumn("ok", (F.col("n_units") >= MIN_UNITS) & (F.col("mean_len") >= MIN_MEAN))
