@@ -16,7 +16,9 @@ all of a class, but it can lose a link: a member that leaves with the first take
 So every list is then looked at again.  Where its members have come to different classes, each member outside the list's
 largest class (in lists of up to WHOLE members: each member, and each larger class) is compared exactly with that whole
 class, shingle set by shingle set, in blocks of bounded size; what that finds joins classes, and it is repeated with the
-joined ones until nothing new is found.  In a dense group few members are left outside, so this stays far from all pairs.
+joined ones until nothing new is found.  In lists of more than WHOLE members, those outside the largest class are also
+compared exactly with one another, once, in such blocks.  So any two members of a list are of one class or have been
+compared.  In a dense group few members are left outside, so this stays far from all pairs.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ SLACK = 4.0
 SEED = 42
 #: So many nodes (24 bytes each) are broadcast.
 MOST_SENT = 200_000
-#: Lists in which all classes are compared with each other; bytes of shingle sets in a block, and of those asked of it.
+#: Lists in which all classes are compared as wholes (in larger ones member by member); bytes of shingle sets in a block, and of those asked of it.
 WHOLE, BLOCK_BYTES, ASKED_BYTES = 64, 4 << 20, 4 << 20
 
 
@@ -164,22 +166,24 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 
 def first_near(asked: list[np.ndarray], members: list[np.ndarray], similarity: float) -> list[int]:
-    """For each of ``asked``, the first of ``members`` (sorted shingle sets) that is similar enough, -1 if none is.
+    """For each of ``asked``, the first of ``members`` (sorted shingle sets) that is similar enough, -1 if none is."""
+    return [int(near[0]) if len(near) else -1 for near in all_near(asked, members, similarity)]
+
+
+def all_near(asked: list[np.ndarray], members: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    """For each of ``asked``, those of ``members`` (sorted shingle sets) that are similar enough.
 
     The members' shingles are an index that each of ``asked`` is looked up in; nothing is held for all pairs at once."""
     sizes = np.array([len(m) for m in members])
     hashes, owner = np.concatenate(members), np.repeat(np.arange(len(members), dtype=np.int32), sizes)
     by = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[by], owner[by]
-    out = []
     for x in asked:
         lo, hi = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         shared = np.bincount(owner[at], minlength=len(members))
-        near = np.flatnonzero(shared >= similarity * (len(x) + sizes - shared) - 1e-9)
-        out.append(int(near[0]) if len(near) else -1)
-    return out
+        yield np.flatnonzero(shared >= similarity * (len(x) + sizes - shared) - 1e-9)
 
 
 def _crossed(asked: DataFrame, placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -210,11 +214,54 @@ def _crossed(asked: DataFrame, placed: DataFrame, sets: DataFrame, similarity: f
     return left.select(*names).groupBy("other", "part", "wave").cogroup(right.select(*names).groupBy("other", "part", "wave")).applyInArrow(run, "a long, b long")
 
 
+def _between(outside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members of one list (key, node, root) whose classes differ, as many as join them in a block."""
+    rows = outside.join(sets, "node")
+    parts = write_table(rows.groupBy("key").agg(F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES).alias("parts")), "parts")
+    rows = rows.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # Each two blocks meet once: the earlier one is held, the later one (or the same) asks.
+    left = rows.withColumn("part", F.col("own")).withColumn("wave", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)))
+    right = rows.toDF(*rows.columns).withColumn("wave", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))))
+
+    def run(held, asking):
+        import pyarrow as pa
+
+        a, b, joined = [], [], {}
+
+        def of(root: int) -> int:
+            while (up := joined.get(root, root)) != root:
+                joined[root] = joined.get(up, up)
+                root = up
+            return root
+
+        if held.num_rows and asking.num_rows:
+            own, theirs = ([np.frombuffer(x, np.uint64) for x in side.column("set").to_pylist()] for side in (held, asking))
+            nodes, roots = held.column("node").to_pylist(), held.column("root").to_numpy()
+            for query, root, near in zip(asking.column("node").to_pylist(), asking.column("root").to_pylist(), all_near(theirs, own, similarity), strict=True):
+                others, first = np.unique(roots[near], return_index=True)
+                for other, k in zip(others.tolist(), first.tolist(), strict=True):
+                    if (x := of(root)) != (y := of(other)):
+                        joined[x] = y
+                        a.append(query), b.append(nodes[near[k]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    names = ("key", "part", "wave", "node", "root", "set")
+    return left.select(*names).groupBy("key", "part", "wave").cogroup(right.select(*names).groupBy("key", "part", "wave")).applyInArrow(run, "a long, b long")
+
+
+def _outside(bands: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, node, root): in each list of more than WHOLE members, those outside its largest class, if of several classes."""
+    own = bands.join(placed, "node").select("key", "node", "root")
+    here = own.groupBy("key", "root").agg(F.count("*").alias("n"))
+    lists = here.groupBy("key").agg(F.sum("n").alias("members"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest"))
+    return own.join(lists.where((F.col("members") > WHOLE) & (F.col("classes") > 2)), "key").where("root <> largest").select("key", "node", "root")
+
+
 def _apart(bands: DataFrame, placed: DataFrame) -> DataFrame:
     """(node, other, size): the classes that each node has met in a list without belonging to them.
 
     Lists of two have been compared.  In a list of up to WHOLE members all larger classes (by members there) count, in
-    others the largest one."""
+    others the largest one; :func:`_between` compares the rest of those."""
     own = bands.join(placed, "node").select("key", "node", "root")
     here = own.groupBy("key", "root").agg(F.count("*").alias("n"))
     lists = here.groupBy("key").agg(F.sum("n").alias("members"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("classes > 1 AND members > 2")
@@ -282,10 +329,12 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
             placed = write_table(rooted, "placed")
             scratch.append(placed)
             apart = _apart(bands, placed.select("node", "root"))
+            # Once is enough: classes only grow, so members that have been compared need not be again.
+            outside = write_table(_outside(bands, placed.select("node", "root")), "outside") if done is None else None
             apart = write_table(apart if done is None else apart.join(done, ["node", "other", "size"], "left_anti"), "meet")
             scratch.append(apart)
             if apart.isEmpty():
-                break
+                break  # a list with members outside has some that meet its largest class
             done = apart if done is None else done.unionByName(apart)
             wanted = apart.select("node").union(placed.join(apart.select(F.col("other").alias("root")).distinct(), "root", "left_semi").select("node")).distinct()
             asked = write_table(best.join(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti"), "node"), "asked")
@@ -293,7 +342,11 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
                 new = write_table(_sets(docs, asked, width), "sets")
                 scratch.append(new)
                 sets = new if sets is None else sets.unionByName(new)
-            found = write_table(_crossed(apart.select("node", "other"), placed.select("node", "root"), sets.dropDuplicates(["node"]), similarity), "links")
+            found = _crossed(apart.select("node", "other"), placed.select("node", "root"), sets.dropDuplicates(["node"]), similarity)
+            if outside is not None:
+                scratch.append(outside)
+                found = found if outside.isEmpty() else found.unionByName(_between(outside, sets.dropDuplicates(["node"]), similarity))
+            found = write_table(found, "links")
             scratch += [asked, found]
             if found.isEmpty():
                 break

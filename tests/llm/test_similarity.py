@@ -141,6 +141,18 @@ def test_no_link_of_a_dense_group_is_lost(spark):
     assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == sorted(set(root)) and 1 < len(set(root)) < 260
 
 
+@pytest.mark.parametrize("block", [1 << 22, 1000])
+def test_members_outside_a_large_lists_largest_class(spark, monkeypatch, block):
+    """One list of all documents, and rounds that find nothing: each two members meet nevertheless."""
+    monkeypatch.setattr(N, "list_keys", lambda least: np.zeros(1, np.int64))
+    monkeypatch.setattr(N, "_tallied", lambda pairs, least: pairs.select("a", "b").where("a < a"))
+    monkeypatch.setattr(N, "WHOLE", 2)
+    monkeypatch.setattr(N, "BLOCK_BYTES", block)
+    words = lambda group, k: " ".join(f"w{group}x{n}" for n in range(60 + 2 * k))
+    docs = spark.createDataFrame([(10 * group + k, words(group, k)) for group in range(5) for k in range(4)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == [0, 10, 20, 30, 40]
+
+
 def test_first_near():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 50, n, np.uint64)) for n in (1, 5, 30, 60, 60, 90, 40)]
