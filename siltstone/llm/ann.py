@@ -168,10 +168,15 @@ def assign(index: Index, vectors: np.ndarray) -> list[np.ndarray]:
 
 
 def route(index: Index, query: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """The lists to read for one query: best-first search of the graph from ``entries``, then the ratio's cut."""
+    """The lists to read for one query: best-first search of the graph from ``entries``, then the ratio's cut.
+
+    A search that would look at most of the centroids ranks them all instead, which finds no farther ones."""
     point = np.append(query, 0.0)
+    if (beam := 2 * index.probes + 16) * 2 >= len(index.centroids):  # the search would see nearly all of them, one by one
+        d = np.sqrt(((index.centroids - point) ** 2).sum(1))
+        order = np.argsort(d, kind="stable")[: index.probes]
+        return order[(np.arange(len(order)) < LEAST_PROBES) | (d[order] <= index.ratio * d[order[min(LEAST_PROBES, len(order)) - 1]] + 1e-12)]
     dist = lambda ids: np.sqrt(((index.centroids[ids] - point) ** 2).sum(1))
-    beam = 2 * index.probes + 16
     seen = np.zeros(len(index.centroids), bool)
     seen[entries] = True
     open_ = list(zip(dist(entries).tolist(), entries.tolist(), strict=True))
@@ -228,24 +233,32 @@ def _unpack(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1) if values else np.zeros((0, 0))
 
 
-def best_of(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], top: int) -> Iterator[tuple[list[int], list[float]]]:
-    """The ``top`` ids of one list for each query: rough scores choose, with a margin for rounding, exact ones decide.
+def best_of(queries: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many, ids, scores: the ``top`` ids of one list for each query, query by query; rough scores choose, with a
+    margin for rounding, exact ones decide.  ``ids`` are those of all vectors, ``sizes`` how many each has.
 
     Exact scores are summed row by row, so equal vectors have equal scores whatever stands beside them."""
     rough = queries @ vectors.T
     margin = min(top + 8, len(vectors))
     near = np.argpartition(-rough, margin - 1, axis=1)[:, :margin]
-    least = np.take_along_axis(rough, near, axis=1)
-    exact = (queries[:, None, :] * vectors[near]).sum(axis=2)
-    for k, query in enumerate(queries):
-        picked, scores = near[k], exact[k]
-        if margin < len(vectors):
-            cut = np.partition(least[k], margin - top)[margin - top] - 1e-9
-            if least[k].min() >= cut:  # ties beyond the margin
-                picked = np.flatnonzero(rough[k] >= cut)
-                scores = (query[None, :] * vectors[picked]).sum(axis=1)
-        rows = sorted((-s, i) for s, v in zip(scores.tolist(), picked.tolist(), strict=True) for i in ids[v])[:top]
-        yield [i for _, i in rows], [-s for s, _ in rows]
+    of, picked = np.repeat(np.arange(len(queries)), margin), near.ravel()
+    scores = (queries[:, None, :] * vectors[near]).sum(axis=2).ravel()
+    if margin < len(vectors):
+        least = np.take_along_axis(rough, near, axis=1)
+        cut = np.partition(least, margin - top, axis=1)[:, margin - top] - 1e-9
+        tied = np.flatnonzero(least.min(axis=1) >= cut)  # ties beyond the margin
+        if len(tied):
+            more = [np.flatnonzero(rough[k] >= cut[k]) for k in tied]
+            rest = ~np.isin(of, tied)
+            scores = np.concatenate([scores[rest], *((queries[k][None, :] * vectors[m]).sum(axis=1) for k, m in zip(tied, more, strict=True))])
+            of = np.concatenate([of[rest], np.repeat(tied, [len(m) for m in more])])
+            picked = np.concatenate([picked[rest], *more])
+    n = sizes[picked]
+    first = (np.cumsum(sizes) - sizes)[picked]
+    ids = ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    of, scores = np.repeat(of, n), np.repeat(scores, n)
+    at = first_best(of, ids, scores, top)
+    return np.bincount(of[at], minlength=len(queries)), ids[at], scores[at]
 
 
 def search(embeddings: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
@@ -275,23 +288,72 @@ def search(embeddings: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
 
     def scan(probe, posting):
         import pyarrow as pa
-
-        out = {"vec": [], "ids": [], "scores": []}
-        if probe.num_rows and posting.num_rows:
-            vectors, ids = _unpack(posting.column("vec")), posting.column("ids").to_pylist()
-            raw = probe.column("vec").to_pylist()
-            for lo in range(0, len(raw), 512):
-                block = np.frombuffer(b"".join(raw[lo : lo + 512]), np.float64).reshape(-1, vectors.shape[1])
-                for key, (found, scores) in zip(raw[lo : lo + 512], best_of(block, vectors, ids, keep), strict=True):
-                    out["vec"].append(key), out["ids"].append(found), out["scores"].append(scores)
-        return pa.table(out, schema=pa.schema([("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]))
+        import pyarrow.compute as pc
+
+        kinds = pa.schema([("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+        if not (probe.num_rows and posting.num_rows):
+            return kinds.empty_table()
+        vectors, ids = _unpack(posting.column("vec")), posting.column("ids").combine_chunks()
+        sizes, ids = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
+        asked, found = probe.column("vec").combine_chunks(), []
+        for lo in range(0, len(asked), 512):
+            found.append(best_of(_unpack(asked.slice(lo, 512)), vectors, sizes, ids, keep))
+        n, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        return pa.table([asked, pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(scores, pa.float64()))], schema=kinds)
 
     hits = left.cogroup(right).applyInArrow(scan, "vec binary, ids array<long>, scores array<double>")
-    pairs = F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("minus"), i.alias("id")))
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs))))
-    # At most ``probes`` lists' parts with ``keep`` pairs each.
-    answers = hits.groupBy("vec").agg(merged.alias("found"))
-    return _ranked(queries.join(answers, "vec"), top)
+    return _ranked(queries.join(_merged(hits, keep), "vec"), top)
+
+
+def first_best(of: np.ndarray, ids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
+    """Where the ``keep`` best of each of ``of`` are, best first, equal scores by id, an id once with its best score."""
+    order = np.lexsort((ids, -scores, of))
+    o, i = of[order], ids[order]
+    by = np.lexsort((i, o))  # stable, so an id's best mention stays in front
+    again = np.zeros(len(by), bool)
+    again[by[1:]] = (o[by[1:]] == o[by[:-1]]) & (i[by[1:]] == i[by[:-1]])
+    order, o = order[~again], o[~again]
+    return order[np.arange(len(o)) - np.searchsorted(o, o) < keep]
+
+
+def _merged(hits: DataFrame, keep: int) -> DataFrame:
+    """(vec, ids, scores): one row for each vector of ``hits``, its ``keep`` best.
+
+    Rows come in the order of their vectors, and the last one of a batch waits for the next batch; all pairs of a batch
+    are sorted at once."""
+
+    def best(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        vec, ids, scores = (rows.column(c).combine_chunks() for c in ("vec", "ids", "scores"))
+        new = np.ones(len(vec), bool)
+        new[1:] = pc.not_equal(vec.slice(1), vec.slice(0, len(vec) - 1)).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.cumsum(new) - 1, pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+        ids, scores = ids.flatten().to_numpy(zero_copy_only=False), scores.flatten().to_numpy(zero_copy_only=False)
+        at = first_best(of, ids, scores, keep)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[at], minlength=int(new.sum())))]), pa.int32())
+        return pa.RecordBatch.from_arrays([vec.filter(pa.array(new)), pa.ListArray.from_arrays(ends, pa.array(ids[at], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(scores[at], pa.float64()))], names=["vec", "ids", "scores"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            last = pc.index(rows.column("vec"), rows.column("vec")[rows.num_rows - 1]).as_py()
+            if last:
+                yield best(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None:
+            yield best(rest)
+
+    return hits.repartition("vec").sortWithinPartitions("vec").mapInArrow(run, "vec binary, ids array<long>, scores array<double>")
 
 
 def _queries(rows: DataFrame, every: int) -> DataFrame:
@@ -343,26 +405,23 @@ def _dealt(rows: DataFrame, own: dict[int, int], other: dict[int, int], own_name
 
 
 def _ranked(rows: DataFrame, top: int) -> DataFrame:
-    """One row for each of a query's answers, without the query's own id and later mentions of an id."""
+    """One row for each of a query's answers, without the query's own id."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            out = []
-            for query, found in zip(batch.column("query_id").to_pylist(), batch.column("found"), strict=True):
-                seen = {query}
-                for x in found:
-                    minus, i = x["minus"].as_py(), x["id"].as_py()
-                    if i not in seen:
-                        seen.add(i)
-                        out.append((query, len(seen) - 1, i, -minus))
-                        if len(seen) > top:
-                            break
-            q, r, v, s = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int32()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "rank", "vec_id", "score"])
-
-    return rows.select("query_id", "found").mapInArrow(run, "query_id long, rank int, vec_id long, score double")
+            ids, scores = batch.column("ids"), batch.column("scores").flatten().to_numpy(zero_copy_only=False)
+            sizes, ids = pc.list_value_length(ids).to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)
+            query = np.repeat(batch.column("query_id").to_numpy(zero_copy_only=False), sizes)
+            other = ids != query
+            rank = np.cumsum(other)
+            rank = rank - np.repeat(np.concatenate([[0], rank])[np.cumsum(sizes) - sizes], sizes)
+            at = np.flatnonzero(other & (rank <= top))
+            yield pa.RecordBatch.from_arrays([pa.array(query[at], pa.int64()), pa.array(rank[at], pa.int32()), pa.array(ids[at], pa.int64()), pa.array(scores[at], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
+
+    return rows.select("query_id", "ids", "scores").mapInArrow(run, "query_id long, rank int, vec_id long, score double")
 
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:

@@ -227,6 +227,29 @@ def test_deep_shallow_keeps_prefixes_together(rows, shallow):
         assert sum(a != b for a, b in zip(prefixes, prefixes[1:], strict=False)) + 1 == len(set(prefixes))
 
 
+def test_answers_of_many_lists_are_merged_in_steps_that_do_not_grow_with_their_square(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rng.integers(-3, 4, (400, 4)))]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_distinct" not in plan
+    want = [(q, place, i, s) for q in range(0, 400, 20) if any(rows[q][1]) for place, (s, i) in enumerate(sorted(((-float(np.dot(rows[q][1], v)), i) for i, v in rows if i != q and any(v)))[:5], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, -r.score) for r in got.collect()) == want
+
+
+def test_first_best():
+    rng = random.Random(4)
+    rows = [(rng.randrange(6), rng.randrange(12), float(rng.randrange(5))) for _ in range(300)]
+    want = []
+    for of in range(6):
+        best = {}
+        for _, i, s in (r for r in rows if r[0] == of):
+            best[i] = max(best.get(i, s), s)
+        want += [(of, i, s) for s, i in sorted((-s, i) for i, s in best.items())[:4]]
+    at = A.first_best(*(np.array(c) for c in zip(*rows, strict=True)), 4)
+    assert [(o, i, -s) for o, i, s in (rows[k] for k in at)] == want
+
+
 def test_nearest_neighbours_exact_on_few_lists(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(700, 12))
